@@ -78,6 +78,13 @@ def in_service_area(lon, lat) -> Column:
     return inside(lon, lat, params.SERVICE_BOX)
 
 
+def rounded_to(value, places: int) -> Column:
+    """A double rounded to decimal places by its exact value, ties to even.
+    Rounding by the shortest decimal text would move values that only look
+    like ties."""
+    return F.format_number(col(value), "0." + "0" * places).cast("double")
+
+
 # -- polylines: array<struct<lon, lat>> -------------------------------------
 
 def legs(line: Column) -> Column:
@@ -130,9 +137,9 @@ def without_repeats(line: Column) -> Column:
         (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == p), acc).otherwise(F.concat(acc, F.array(p))))
 
 
-def stretch(line: Column, t0: Column, t1: Column, metric=haversine) -> Column:
-    """The part of a line between two length fractions."""
-    cum = running(leg_lengths(line, metric))
+def stretch(line: Column, cum: Column, t0: Column, t1: Column) -> Column:
+    """The part of a line between two length fractions. `cum` is its
+    running(leg_lengths): pass a column, it is used many times over."""
     size = F.element_at(cum, -1)
     middle = F.filter(line, lambda p, i: (F.get(cum, i) > t0 * size) & (F.get(cum, i) < t1 * size))
     cut = without_repeats(F.concat(F.array(point_at(line, cum, t0)), middle, F.array(point_at(line, cum, t1))))
@@ -177,7 +184,7 @@ def project(line: Column, lon, lat) -> Column:
 
 
 def rounded(line: Column, places: int) -> Column:
-    return F.transform(line, lambda p: F.struct(F.bround(p["lon"], places).alias("lon"), F.bround(p["lat"], places).alias("lat")))
+    return F.transform(line, lambda p: F.struct(rounded_to(p["lon"], places).alias("lon"), rounded_to(p["lat"], places).alias("lat")))
 
 
 # -- raster ------------------------------------------------------------------
@@ -207,7 +214,7 @@ def distance_text(m, half_up: bool = False) -> Column:
     step = F.when(feet < 97.5, F.lit(5.0)).otherwise(F.lit(10.0))
     n = F.floor(feet / step + 0.5) if half_up else F.rint(feet / step)
     return F.when(m < 0.1 * params.MILE_M, F.concat((n * step).cast("bigint").cast("string"), F.lit(" ft"))).otherwise(
-        F.concat(F.format_string("%.1f", m / params.MILE_M), F.lit(" mi")))
+        F.concat(F.format_number(m / params.MILE_M, "0.0"), F.lit(" mi")))
 
 
 def minutes_text(seconds) -> Column:
@@ -220,4 +227,4 @@ def spoken_distance(m) -> Column:
     feet = m * params.FEET_PER_M
     near = F.greatest(F.lit(50), (F.floor(feet / 50.0 + 0.5) * 50).cast("int"))
     return F.when(feet < 1000, F.concat(near.cast("string"), F.lit(" feet"))).otherwise(
-        F.concat(F.format_string("%.1f", m / params.MILE_M), F.lit(" miles")))
+        F.concat(F.format_number(m / params.MILE_M, "0.0"), F.lit(" miles")))

@@ -36,27 +36,35 @@ def shown(lines: DataFrame) -> DataFrame:
     return lines.where("cls <> 3")
 
 
-def _samples(line: Column, kx: Column) -> Column:
-    """Points a quarter, half and three quarters along, or only half way on a
-    short line, each with the bearing of its leg."""
+def _flat_metric(kx: Column):
     def metric(lon1, lat1, lon2, lat2):
         dx, dy = (lon2 - lon1) * kx, (lat2 - lat1) * geo.METRES_PER_DEG_LAT
         return F.sqrt(dx * dx + dy * dy)
 
-    cum = geo.running(geo.leg_lengths(line, metric))
-    size = F.element_at(cum, -1)
-    shares = F.when(size >= params.SHORT_LINE_M, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).otherwise(F.array(F.lit(0.5)))
+    return metric
 
-    def at(f):
-        leg = F.aggregate(F.sequence(F.lit(1), F.size(line) - 1), F.lit(0), lambda acc, i: F.when(
-            (acc == 0) & (F.element_at(cum, i + 1) > F.element_at(cum, i)) & (F.element_at(cum, i + 1) >= f * size), i).otherwise(acc))
-        a, b = F.element_at(line, leg), F.element_at(line, leg + 1)
-        t = (f * size - F.element_at(cum, leg)) / (F.element_at(cum, leg + 1) - F.element_at(cum, leg))
-        p = geo.blend(a, b, t)
-        return F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"),
-                        geo.flat_bearing(a["lon"] * kx, a["lat"] * geo.METRES_PER_DEG_LAT, b["lon"] * kx, b["lat"] * geo.METRES_PER_DEG_LAT).alias("brg"))
 
-    return F.when(size > 0, F.transform(shares, at))
+def _samples(segments: DataFrame, scale: Column) -> DataFrame:
+    """Segments × points a quarter, half and three quarters along (only half
+    way on a short line), each with the bearing of its leg. Built up column
+    by column: a nested expression would be worked out again at every use."""
+    cum = geo.running(geo.leg_lengths(F.col("geometry"), _flat_metric(F.col("kx"))))
+    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    leg = F.aggregate(F.sequence(F.lit(1), F.size("geometry") - 1), F.lit(0), lambda acc, i: F.when(
+        (acc == 0) & (F.get("cum", i) > F.get("cum", i - 1)) & (F.get("cum", i) >= F.col("want")), i).otherwise(acc))
+    return (
+        segments.select("seg_id", "class", "geometry").withColumn("kx", scale).withColumn("cum", cum)
+        .withColumn("size_m", F.element_at("cum", -1)).where("size_m > 0")
+        .withColumn("need", F.when(F.col("size_m") >= params.SHORT_LINE_M, 2).otherwise(1))
+        .select("*", F.posexplode(thirds).alias("i", "f")).where("need = 2 or f = 0.5")
+        .withColumn("want", F.col("f") * F.col("size_m")).withColumn("leg", leg)
+        .withColumn("a", F.get("geometry", F.col("leg") - 1)).withColumn("b", F.get("geometry", F.col("leg")))
+        .withColumn("t", (F.col("want") - F.get("cum", F.col("leg") - 1)) / (F.get("cum", F.col("leg")) - F.get("cum", F.col("leg") - 1)))
+        .withColumn("p", geo.blend(F.col("a"), F.col("b"), F.col("t")))
+        .select("seg_id", "class", "need", "i", "kx", "p.lon", "p.lat",
+                geo.flat_bearing(F.col("a.lon") * F.col("kx"), F.col("a.lat") * geo.METRES_PER_DEG_LAT,
+                                 F.col("b.lon") * F.col("kx"), F.col("b.lat") * geo.METRES_PER_DEG_LAT).alias("brg"))
+    )
 
 
 def match(segments: DataFrame, lines: DataFrame) -> DataFrame:
@@ -82,13 +90,9 @@ def match(segments: DataFrame, lines: DataFrame) -> DataFrame:
                 (F.col("g.b.lon") * F.col("kx")).alias("bx"), (F.col("g.b.lat") * ky).alias("by"))
         .withColumn("line_brg", geo.flat_bearing("ax", "ay", "bx", "by"))
     )
-    points = (
-        segments.select("seg_id", "class", "geometry").withColumn("kx", scale)
-        .withColumn("pts", _samples(F.col("geometry"), F.col("kx"))).where("pts is not null")
-        .select("seg_id", "class", F.when(F.size("pts") == 3, 2).otherwise(1).alias("need"), "kx", F.posexplode("pts").alias("i", "p"))
-        .select("seg_id", "class", "need", "i", "p.brg", (F.col("p.lon") * F.col("kx")).alias("px"), (F.col("p.lat") * ky).alias("py"),
-                F.explode(around("p.lon", "p.lat", PIECE_DEG)).alias("cell"))
-    )
+    points = _samples(segments, scale).select(
+        "seg_id", "class", "need", "i", "brg", (F.col("lon") * F.col("kx")).alias("px"), (F.col("lat") * ky).alias("py"),
+        F.explode(around("lon", "lat", PIECE_DEG)).alias("cell"))
     allowed = (F.when(F.col("class") == "footway", F.col("cls") == 1)
                .when(F.col("class").isin(*params.PATHLIKE_CLASSES), F.col("cls").isin(1, 4)).otherwise(F.col("cls").isin(2, 3, 4)))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")

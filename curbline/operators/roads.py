@@ -186,7 +186,7 @@ def edges(segments: DataFrame, inferred: DataFrame | None = None, surveyed: Data
         i.alias("pos"), F.element_at(F.col("stops"), i).alias("a"), F.element_at(F.col("stops"), i + 1).alias("b")))
     df = (
         df.withColumn("n", n).where("n >= 2").withColumn("stops", stops)
-        .withColumn("seg_m", geo.line_length(F.col("geometry"))).where("seg_m > 0")
+        .withColumn("cum", geo.running(geo.leg_lengths(F.col("geometry")))).withColumn("seg_m", F.element_at("cum", -1)).where("seg_m > 0")
         .withColumn("ow", F.coalesce("ow", F.lit(3)).bitwiseOR(opened)).withColumn("ow_moto", F.coalesce("ow_moto", F.lit(3)))
         .withColumn("limit", F.coalesce("speed", "inferred"))
         .withColumn("pair", F.explode(pairs)).withColumn("heading", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -196,7 +196,7 @@ def edges(segments: DataFrame, inferred: DataFrame | None = None, surveyed: Data
     ahead = F.col("heading") == 0
     code = F.when(ahead, F.col("fwd")).otherwise(F.col("bwd"))
     designated = F.coalesce("bike_desig", F.lit(0)).bitwiseAND(F.col("bit")) != 0
-    piece = geo.stretch(F.col("geometry"), F.col("pair.a.at"), F.col("pair.b.at"))
+    piece = geo.stretch(F.col("geometry"), F.col("cum"), F.col("pair.a.at"), F.col("pair.b.at"))
     return (
         df.withColumn("category", policy.category("class", "limit", designated, code)).where("category is not null")
         .select(

@@ -72,7 +72,7 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_m: float, ws: Wor
         hits = a.join(b, [*by, "cell"]).withColumn("dist_m", metric("plon", "plat", "lon", "lat"))
         reach = radius_m * (1.0 if last else share)
         best = hits.where(F.col("dist_m") <= reach).groupBy(*by, "plon", "plat").agg(
-            F.min(F.struct(F.round("dist_m", 9).alias("d"), F.col(f"site.{order}").alias("o"), "dist_m", "site", "lon", "lat")).alias("best"))
+            F.min(F.struct(F.round("dist_m", 6).alias("d"), F.col(f"site.{order}").alias("o"), "dist_m", "site", "lon", "lat")).alias("best"))
         best = ws.write(best.select(*by, "plon", "plat", F.col("best.dist_m").alias("dist_m"), F.col("best.site").alias("site"),
                                     F.col("best.lon").alias("slon"), F.col("best.lat").alias("slat")), f"near-found-{level}")
         found.append(best)

@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from . import network  # noqa: F401
+    from . import network, points  # noqa: F401
