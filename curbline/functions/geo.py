@@ -82,7 +82,7 @@ def rounded_to(value, places: int) -> Column:
     """A double rounded to decimal places by its exact value, ties to even.
     Rounding by the shortest decimal text would move values that only look
     like ties."""
-    return F.format_number(col(value), "0." + "0" * places).cast("double")
+    return F.call_function("format_number", col(value), F.lit("0." + "0" * places)).cast("double")
 
 
 # -- polylines: array<struct<lon, lat>> -------------------------------------
@@ -214,7 +214,7 @@ def distance_text(m, half_up: bool = False) -> Column:
     step = F.when(feet < 97.5, F.lit(5.0)).otherwise(F.lit(10.0))
     n = F.floor(feet / step + 0.5) if half_up else F.rint(feet / step)
     return F.when(m < 0.1 * params.MILE_M, F.concat((n * step).cast("bigint").cast("string"), F.lit(" ft"))).otherwise(
-        F.concat(F.format_number(m / params.MILE_M, "0.0"), F.lit(" mi")))
+        F.concat(F.call_function("format_number", m / params.MILE_M, F.lit("0.0")), F.lit(" mi")))
 
 
 def minutes_text(seconds) -> Column:
@@ -227,4 +227,4 @@ def spoken_distance(m) -> Column:
     feet = m * params.FEET_PER_M
     near = F.greatest(F.lit(50), (F.floor(feet / 50.0 + 0.5) * 50).cast("int"))
     return F.when(feet < 1000, F.concat(near.cast("string"), F.lit(" feet"))).otherwise(
-        F.concat(F.format_number(m / params.MILE_M, "0.0"), F.lit(" miles")))
+        F.concat(F.call_function("format_number", m / params.MILE_M, F.lit("0.0")), F.lit(" miles")))

@@ -19,7 +19,7 @@ def motorcycle_sites(spaces: DataFrame, box=params.EXTRACT_BOX) -> DataFrame:
     smaller space id.
     """
     kept = spaces.where((F.coalesce("flag", F.lit("")) != "L") & geo.inside("lon", "lat", box))
-    near = lambda c: F.format_number(F.col(c), "0.0000")
+    near = lambda c: F.call_function("format_number", F.col(c), F.lit("0.0000"))
     kept = kept.select(
         "space_id", "lon", "lat", "flag", F.trim(F.coalesce("street_num", F.lit(""))).alias("num"), F.coalesce("street_name", F.lit("")).alias("street"),
         F.coalesce("onoff", F.lit("")).alias("onoff"), F.coalesce(F.nullif("blockface_id", F.lit("")), F.concat(near("lon"), F.lit(","), near("lat"))).alias("site"))
@@ -28,7 +28,7 @@ def motorcycle_sites(spaces: DataFrame, box=params.EXTRACT_BOX) -> DataFrame:
                                     F.count_if(F.col("flag").isin("M", "P")).alias("metered"))
     dx, dy = F.col("lon") - F.col("mlon"), F.col("lat") - F.col("mlat")
     nearest = kept.join(middle.select(*key, "mlon", "mlat"), key).groupBy(*key).agg(
-        F.min_by("num", F.struct(F.round(dx * dx + dy * dy, 15), F.col("space_id"))).alias("num"))
+        F.min_by("num", F.struct(F.round(dx * dx + dy * dy, 15), F.col("space_id"), F.col("num"))).alias("num"))
     name = text.blockface_street("street")
     street = F.when(F.col("street") != "", name)
     return middle.join(nearest, key).select(

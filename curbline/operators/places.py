@@ -62,7 +62,7 @@ def far_from_namesakes(places: DataFrame) -> DataFrame:
     names = asked.select(F.col("fold_key").alias("prefix")).distinct()
     n_words = F.size(F.split("fold_key", " "))
     prefixes = keyed.select("lon", "lat", "fold_key", F.explode(F.sequence(F.lit(1), F.greatest(n_words - 1, F.lit(1)))).alias("k"), n_words.alias("n")).where("n > 1")
-    prefixes = prefixes.select("lon", "lat", F.substring_index("fold_key", " ", F.col("k")).alias("prefix"))
+    prefixes = prefixes.select("lon", "lat", F.expr("substring_index(fold_key, ' ', k)").alias("prefix"))
     sakes = prefixes.join(names, "prefix")
     middle = sakes.groupBy("prefix").agg(F.median("lon").alias("clon"), F.median("lat").alias("clat"), F.count("*").alias("n")).where(F.col("n") >= NAMESAKES)
     d = geo.haversine("lon", "lat", "clon", "clat")

@@ -99,7 +99,7 @@ def pin_clusters(spark, sf):
   -1.2253e2+(l_suppkey*7919%160000)/1e6+(l_partkey%10)*1e-5 AS lon, 3.7705e1+(l_suppkey*104729%(n*9))/1e6 AS lat FROM lineitem, n),
 k AS (SELECT *, coalesce(bf, printf('%.4f,%.4f',lon,lat)) AS site FROM sp WHERE flag<>'L' AND {q.box(params.EXTRACT_BOX)}),
 m AS (SELECT site, street, onoff, avg(lon) AS mlon, avg(lat) AS mlat, count(*) AS spaces, count(*) FILTER (flag IN ('M','P')) AS metered FROM k GROUP BY ALL),
-r AS (SELECT k.site, k.street, k.onoff, k.num, row_number() OVER (PARTITION BY k.site, k.street, k.onoff ORDER BY round(pow(lon-mlon,2)+pow(lat-mlat,2),15), space_id) AS rk FROM k JOIN m USING (site, street, onoff))
+r AS (SELECT k.site, k.street, k.onoff, k.num, row_number() OVER (PARTITION BY k.site, k.street, k.onoff ORDER BY round(pow(lon-mlon,2)+pow(lat-mlat,2),15), space_id, k.num) AS rk FROM k JOIN m USING (site, street, onoff))
 SELECT 'moto-'||site||'-'||lower(onoff) AS id, m.street AS name, CASE WHEN r.num<>'0' THEN r.num||' '||m.street ELSE m.street END AS address, spaces, metered, onoff='OFF' AS offstreet, CAST(printf('%.5f',mlon) AS DOUBLE) AS lon, CAST(printf('%.5f',mlat) AS DOUBLE) AS lat
 FROM m JOIN r USING (site, street, onoff) WHERE rk=1""")
 def moto_sites(spark, sf):
