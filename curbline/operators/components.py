@@ -8,7 +8,7 @@ is nearly all of a street network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -173,34 +173,38 @@ def reachable_pairs(pairs: DataFrame, dag: DataFrame, ws: Workspace) -> DataFram
     return same.unionByName(met)
 
 
-def joined_nodes(ends: DataFrame, access: DataFrame, ws: Workspace, label: str = "joined", limit: int = params.POCKET_NODES) -> DataFrame:
-    """Of `ends` (who, node, forward), those from which (or, backward, to
-    which) `who` can ride more than `limit` other junctions.
+def joined_nodes(access: DataFrame, ws: Workspace, limit: int = params.POCKET_NODES) -> DataFrame:
+    """(who, forward, node) of every junction from which (or, backward, to
+    which) `who` can ride more than `limit` others.
 
-    Neighbourhoods grow hop by hop and stop counting for a node as soon as
-    they pass the limit, so a node holds a few dozen rows however large the
-    network. A node whose neighbourhood meets a node known to be joined is
-    joined too: it reaches at least as many.
+    Each junction holds a set of junctions it reaches, cut off once the answer
+    is yes, so a row stays a few dozen ids. A round joins the sets of a set's
+    members, which doubles the distance covered; and a junction that reaches
+    a joined one is joined, for it reaches at least as many. Junctions that
+    are settled drop out, so only pockets live past the third round.
     """
-    out = access.select("who", F.lit(True).alias("forward"), F.col("from_node").alias("at"), F.col("to_node").alias("next"))
-    into = access.select("who", F.lit(False).alias("forward"), F.col("to_node").alias("at"), F.col("from_node").alias("next"))
-    hops = ws.write(out.unionByName(into).distinct(), f"{label}-hops")
+    out = access.select("who", F.lit(True).alias("forward"), F.col("from_node").alias("node"), F.col("to_node").alias("next"))
+    into = access.select("who", F.lit(False).alias("forward"), F.col("to_node").alias("node"), F.col("from_node").alias("next"))
     key = ["who", "forward", "node"]
-    asked = ws.write(ends.select(*key).distinct(), f"{label}-asked")
-    seen = ws.write(asked.select(*key, F.col("node").alias("at"), F.lit(True).alias("fresh")), f"{label}-0")
-    yes = None
+    need = limit + 2
+    hops = out.unionByName(into).where("node <> next").distinct()
+    few = hops.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("next"))).where(F.col("nth") <= need)
+    sets = few.groupBy(*key).agg(F.collect_set("next").alias("seen"))
+    # the other ends of edges may have no way on themselves
+    bare = hops.select("who", "forward", F.col("next").alias("node")).distinct().join(sets.select(*key), key, "left_anti")
+    sets = sets.select(*key, F.array_union(F.array("node"), "seen").alias("seen")).unionByName(bare.select(*key, F.array("node").alias("seen")))
+    state = ws.write(sets.withColumn("joined", F.size("seen") > limit + 1).withColumn("grew", F.lit(True)), "joined-0")
     done = 0
     while True:
+        live = state.where("not joined and grew")
+        if live.isEmpty():
+            return state.where("joined").select(*key)
+        member = live.select(*key, F.explode("seen").alias("m")).where("m <> node")
+        other = state.select("who", "forward", F.col("node").alias("m"), F.when(~F.col("joined"), F.col("seen")).alias("more"), F.col("joined").alias("yes"))
+        met = member.join(other, ["who", "forward", "m"])
+        wider = met.groupBy(*key).agg(F.max("yes").alias("yes"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
+        nxt = state.join(wider, key, "left").select(
+            *key, F.when(F.col("joined") | F.coalesce("yes", F.lit(False)), F.array("node")).otherwise(F.array_union("seen", F.coalesce("more", F.slice("seen", 1, 0)))).alias("all"),
+            (F.col("joined") | F.coalesce("yes", F.lit(False))).alias("was"), F.size("seen").alias("n"))
         done += 1
-        ahead = seen.where("fresh").join(hops, ["who", "forward", "at"]).select(*key, F.col("next").alias("at")).distinct()
-        both = seen.select(*key, "at", F.lit(1).alias("old")).unionByName(ahead.withColumn("old", F.lit(0)))
-        grown = ws.write(both.groupBy(*key, "at").agg((F.max("old") == 0).alias("fresh")), f"{label}-all-{done}")
-        # the node itself is among its rows
-        passed = grown.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > limit + 1).select(*key)
-        if yes is not None:
-            touched = grown.where("at <> node").join(yes.select("who", "forward", F.col("node").alias("at")), ["who", "forward", "at"], "left_semi").select(*key).distinct()
-            passed = yes.unionByName(passed).unionByName(touched).distinct()
-        yes = ws.write(passed, f"{label}-yes-{done}")
-        seen = ws.write(grown.join(yes, key, "left_anti"), f"{label}-{done}")
-        if seen.where("fresh").isEmpty():
-            return yes
+        state = ws.write(nxt.select(*key, F.slice("all", 1, need).alias("seen"), (F.col("was") | (F.size("all") > limit + 1)).alias("joined"), (F.size("all") > F.col("n")).alias("grew")), f"joined-{done}")

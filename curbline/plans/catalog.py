@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from . import network, places, points, search  # noqa: F401
+    from . import network, places, points, routes, search  # noqa: F401

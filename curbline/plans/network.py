@@ -216,7 +216,7 @@ fwd AS (SELECT node_id AS n, node_id AS r FROM nodes UNION SELECT f.n, p.v FROM
 comp AS (SELECT a.n, min(a.r) AS comp FROM fwd a JOIN fwd b ON a.n=b.r AND a.r=b.n GROUP BY a.n)
 SELECT n AS node_id, comp FROM comp""")
 def strong_components(spark, sf):
-    return compiled.strong(spark, sf).select(F.col("node").alias("node_id"), "comp")
+    return compiled.strong(spark, sf).where("who = 'any'").select(F.col("node").alias("node_id"), "comp")
 
 
 @query("component_arcs", f"""{WITH}{q.GRAPH},
@@ -226,7 +226,7 @@ comp AS (SELECT a.n, min(a.r) AS comp FROM fwd a JOIN fwd b ON a.n=b.r AND a.r=b
 SELECT DISTINCT a.comp AS src_comp, b.comp AS dst_comp FROM pairs p JOIN comp a ON a.n=p.u JOIN comp b ON b.n=p.v WHERE a.comp<>b.comp""")
 def component_arcs(spark, sf):
     arcs = compiled.edges(spark, sf).select(F.col("from_node").alias("u"), F.col("to_node").alias("v"))
-    return components.component_arcs(arcs, compiled.strong(spark, sf))
+    return components.component_arcs(arcs, compiled.strong(spark, sf).where("who = 'any'"))
 
 
 @query("display_roads", f"""{WITH}{q.NODES},\n{q.SEGS}

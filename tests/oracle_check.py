@@ -37,7 +37,10 @@ def compare(spark, sf, name, fn, sql, verbose=True):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    rel = con.execute(sql)
+    try:
+        rel = con.execute(sql)
+    except Exception as ex:
+        return f"SQL {type(ex).__name__}: {str(ex)[:600]} (spark {t1 - t0:.1f}s)", False
     cols = [d[0] for d in rel.description]
     want = rel.fetchall()
     t2 = time.time()
