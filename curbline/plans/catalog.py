@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -14,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def keep(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship()
+            return fn(spark, sf)
+
+        QUERIES[name] = functools.update_wrapper(run, fn)
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -23,4 +30,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from . import network, places, points, routes, search  # noqa: F401
+    from . import moving, network, places, points, routes, search  # noqa: F401

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SETTINGS = {
@@ -41,6 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship() -> None:
+    """Send this package's functions to Python workers by value, so that a
+    cluster's workers need not have the package installed."""
+    import curbline
+
+    if curbline.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(curbline)
+
+
 class Workspace:
     """Named intermediate tables, written as parquet under the shared folder.
 
