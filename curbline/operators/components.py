@@ -113,6 +113,17 @@ def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None
         merge(_one_way_loops(live, ws, f"scc-loop-{step}"), "loops")
 
 
+def class_components(edges: DataFrame, access: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFrame:
+    """(who, node, comp): strong components of the whole network (who = any)
+    and of each routing class, found in one run over (who, node) vertices."""
+    vertex = lambda node: F.struct(F.col("who"), F.col(node).alias("node"))
+    arcs = access.select("who", "from_node", "to_node").unionByName(edges.select(F.lit("any").alias("who"), "from_node", "to_node"))
+    arcs = arcs.select(vertex("from_node").alias("u"), vertex("to_node").alias("v")).distinct()
+    alone = nodes.select(F.lit("any").alias("who"), "node_id").select(vertex("node_id").alias("node"))
+    found = strong_components(arcs, ws, alone.union(arcs.select("u")).union(arcs.select("v")).distinct())
+    return found.select("node.who", "node.node", F.col("comp.node").alias("comp"))
+
+
 def _one_way_loops(arcs: DataFrame, ws: Workspace, label: str) -> DataFrame:
     """(node, comp) for the strong sets owned by a colour root: a forward pass
     gives each vertex the largest vertex that reaches it, and the vertices

@@ -71,16 +71,4 @@ def joined(spark, sf) -> DataFrame:
 
 
 def strong(spark, sf) -> DataFrame:
-    """(who, node, comp): strong components of the whole network (who = any)
-    and of each routing class, found in one run over labelled vertices."""
-    def build(ws):
-        vertex = lambda who, node: F.concat(who, F.lit("/"), F.lpad(F.col(node).cast("string"), 20, "0"))
-        whole = edges(spark, sf).select(F.lit("any").alias("who"), "from_node", "to_node")
-        arcs = class_access(spark, sf).select("who", "from_node", "to_node").unionByName(whole)
-        arcs = arcs.select(vertex(F.col("who"), "from_node").alias("u"), vertex(F.col("who"), "to_node").alias("v"))
-        alone = derive.nodes(spark, sf).select(vertex(F.lit("any"), "node_id").alias("node"))
-        found = components.strong_components(arcs, ws, alone.union(arcs.select("u")).union(arcs.select("v")).distinct())
-        last = lambda c: F.substring_index(c, "/", -1).cast("bigint")
-        return found.select(F.substring_index("node", "/", 1).alias("who"), last("node").alias("node"), last("comp").alias("comp"))
-
-    return once(spark, sf, "strong", build)
+    return once(spark, sf, "strong", lambda ws: components.class_components(edges(spark, sf), class_access(spark, sf), derive.nodes(spark, sf), ws))
