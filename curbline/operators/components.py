@@ -115,13 +115,22 @@ def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None
 
 def class_components(edges: DataFrame, access: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFrame:
     """(who, node, comp): strong components of the whole network (who = any)
-    and of each routing class, found in one run over (who, node) vertices."""
-    vertex = lambda node: F.struct(F.col("who"), F.col(node).alias("node"))
-    arcs = access.select("who", "from_node", "to_node").unionByName(edges.select(F.lit("any").alias("who"), "from_node", "to_node"))
-    arcs = arcs.select(vertex("from_node").alias("u"), vertex("to_node").alias("v")).distinct()
-    alone = nodes.select(F.lit("any").alias("who"), "node_id").select(vertex("node_id").alias("node"))
-    found = strong_components(arcs, ws, alone.union(arcs.select("u")).union(arcs.select("v")).distinct())
-    return found.select("node.who", "node.node", F.col("comp.node").alias("comp"))
+    and of each routing class, found in one run over (who, node) vertices.
+    The vertices are numbered first (written, so the numbers stay): the rounds
+    then join and compare plain integers. comp is the smallest node of a set.
+    """
+    arcs = access.select("who", "from_node", "to_node").unionByName(edges.select(F.lit("any").alias("who"), "from_node", "to_node")).distinct()
+    arcs = ws.write(arcs, "class-arcs")
+    seen = arcs.select("who", F.col("from_node").alias("node")).union(arcs.select("who", "to_node")).union(nodes.select(F.lit("any"), "node_id"))
+    ids = ws.write(seen.distinct().withColumn("id", F.monotonically_increasing_id()), "class-vertices")
+    numbered = (
+        arcs.join(ids.select("who", F.col("node").alias("from_node"), F.col("id").alias("u")), ["who", "from_node"])
+        .join(ids.select("who", F.col("node").alias("to_node"), F.col("id").alias("v")), ["who", "to_node"]).select("u", "v")
+    )
+    found = strong_components(numbered, ws, ids.select("id"))
+    member = ids.join(found.withColumnRenamed("node", "id"), "id")
+    names = member.groupBy("comp").agg(F.min("node").alias("least"))
+    return member.join(names, "comp").select("who", "node", F.col("least").alias("comp"))
 
 
 def _one_way_loops(arcs: DataFrame, ws: Workspace, label: str) -> DataFrame:

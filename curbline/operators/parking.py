@@ -53,9 +53,10 @@ def parking_label(kind, name) -> Column:
             .when(k == "moto", dotted("Motorcycle parking")).otherwise(dotted("Bike rack")))
 
 
-def pins(pois: DataFrame, vehicle: Column) -> DataFrame:
-    """Pins a vehicle's map shows."""
-    return pois.where(F.array_contains(policy.per_vehicle(vehicle, params.PIN_KINDS), F.col("kind")))
+def pins(pois: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Pins by the vehicles whose map shows their kind."""
+    shown = vehicles.select("vehicle", F.explode(policy.per_vehicle("vehicle", params.PIN_KINDS)).alias("kind"))
+    return pois.join(F.broadcast(shown), "kind")
 
 
 def nearest_parking(goals: DataFrame, pois: DataFrame, ws: Workspace, key: str = "point_id") -> DataFrame:

@@ -80,7 +80,7 @@ def parking_layers(spark, sf):
     pois = derive.pois(spark, sf)
     parts = [pois.where(F.col("kind") == k).drop("kind") for k in ("charger", "locker", "rack", "moto")]
     counts = parking.all_parking(*parts).groupBy("kind").agg(F.count("*").alias("pins"))
-    return parking.pins(counts.crossJoin(F.broadcast(params.vehicles(spark).select("vehicle"))), F.col("vehicle")).select("vehicle", "kind", "pins")
+    return parking.pins(counts, params.vehicles(spark)).select("vehicle", "kind", "pins")
 
 
 
