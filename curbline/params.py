@@ -141,11 +141,11 @@ BAD_PLACES = (
     ("SFO International Airport", None),
 )
 ADDED_PLACES = (
-    ("pev-union-square", "Union Square", "plaza", None, -122.40752, 37.78799),
-    ("pev-city-hall", "City Hall", "landmark_and_historical_building", "1 Dr Carlton B Goodlett Pl", -122.41924, 37.77927),
-    ("pev-portsmouth-square", "Portsmouth Square", "park", None, -122.40567, 37.79486),
-    ("pev-fort-mason", "Fort Mason", "park", "2 Marina Blvd", -122.43150, 37.80610),
-    ("pev-painted-ladies", "Painted Ladies", "landmark_and_historical_building", "710 Steiner St", -122.43275, 37.77617),
+    ("added-union-square", "Union Square", "plaza", None, -122.40752, 37.78799),
+    ("added-city-hall", "City Hall", "landmark_and_historical_building", "1 Dr Carlton B Goodlett Pl", -122.41924, 37.77927),
+    ("added-portsmouth-square", "Portsmouth Square", "park", None, -122.40567, 37.79486),
+    ("added-fort-mason", "Fort Mason", "park", "2 Marina Blvd", -122.43150, 37.80610),
+    ("added-painted-ladies", "Painted Ladies", "landmark_and_historical_building", "710 Steiner St", -122.43275, 37.77617),
 )
 NAME_FIXES = (("Oakland-San Francico Bay Bridge", "Oakland-San Francisco Bay Bridge"),)
 
