@@ -12,7 +12,6 @@ blocks are composed at once and scanned by doubling, without a regex.
 from __future__ import annotations
 
 import base64
-import heapq
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, lists, per_batch, runs, steps, utf8
+from .common import Codes, kept, lists, per_batch, runs, steps, utf8
+from .merging import Merger, PairTable
 
 LETTER, DIGIT, SIGN, SHORT, LONG, LEAD, TAIL, SPACE, START = range(9)  # classes
 #: White space of the pattern's \s: the Unicode property, which has no U+001C to U+001F.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 BLOCK = 64
 CACHE_PIECES = 400_000  # of a worker; the cache starts anew beyond it
-NONE = np.int64(1) << 40
 
 
 def automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -106,19 +105,6 @@ def cuts(cls: np.ndarray, to: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-class Codes(dict):
-    """Numbers pieces as they are first asked for; `new` are those since it was last emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, piece: bytes) -> int:
-        self[piece] = code = len(self)
-        self.new.append(piece)
-        return code
-
-
 class Vocabulary:
     """Ranks of a vocabulary file, the pairs that make its tokens, and pieces met before."""
 
@@ -127,93 +113,20 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks, self.to, self.cut, self.table = ranks, *automaton(), code_classes()
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left, right = ranks.get(token[:i]), ranks.get(token[i:])
-                if left is not None and right is not None:
-                    pairs[left << 20 | right] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.pairs = pairs
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.merger = Merger(PairTable(*np.array(pairs, np.int64).T), np.arange(max(ranks.values()) + 1))
         self.clear()
 
     def clear(self) -> None:
         self.seen = Codes()
         self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], NONE)
-
-    def slowly(self, piece: bytes) -> list[int]:
-        """One long piece: a heap of its pairs instead of rounds over all of it."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.pairs.get(a << 20 | b)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := self.pairs.get(ids[x] << 20 | ids[y])) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
-
-    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and their counts: each round joins the first best pair of every piece."""
-        n = len(pieces)
-        size = np.fromiter(map(len, pieces), np.int64, n)
-        long = np.flatnonzero(size > 96)
-        done_ids, done_own = [], []
-        for i in long.tolist():
-            ids = self.slowly(pieces[i])
-            done_ids.append(np.array(ids, np.int64))
-            done_own.append(np.full(len(ids), i, np.int64))
-        short = np.flatnonzero(size <= 96)
-        own = np.repeat(short, size[short])
-        ids = self.byte[np.frombuffer(b"".join([p for p in pieces if len(p) <= 96]), np.uint8)]
-        rank = np.full(len(ids), NONE)
-        if len(ids) > 1:
-            inner = np.flatnonzero(own[1:] == own[:-1])
-            rank[inner] = self.ranked(ids[inner], ids[inner + 1])
-        while len(ids):
-            head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            count = np.diff(np.append(head, len(ids)))
-            best = np.repeat(np.minimum.reduceat(rank, head), count)
-            idle = best == NONE
-            if idle.any():
-                done_ids.append(ids[idle])
-                done_own.append(own[idle])
-                ids, own, rank, best = ids[~idle], own[~idle], rank[~idle], best[~idle]
-                if not len(ids):
-                    break
-            at = np.flatnonzero(rank == best)
-            at = at[np.append(True, own[at[1:]] != own[at[:-1]])]
-            ids[at] = best[at]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            at = at - np.arange(len(at))  # where they stand after the others have gone
-            ids, own, rank = ids[keep], own[keep], rank[keep]
-            for x in (at, at[at > 0] - 1):
-                y = np.minimum(x + 1, len(ids) - 1)
-                rank[x] = np.where((own[x] == own[y]) & (x != y), self.ranked(ids[x], ids[y]), NONE)
-        own = np.concatenate(done_own) if done_own else np.zeros(0, np.int64)
-        ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64)
-        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=n)
-
     def codes(self, pieces: list[bytes]) -> np.ndarray:
         if len(self.seen) > CACHE_PIECES:
             self.clear()
         codes = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
         if self.seen.new:
-            ids, counts = self.merged(self.seen.new)
+            ids, counts = self.merger.merged(self.byte[np.frombuffer(b"".join(self.seen.new), np.uint8)], np.fromiter(map(len, self.seen.new), np.int64, len(self.seen.new)))
             self.seen.new = []
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
             self.counts = np.append(self.counts, counts)

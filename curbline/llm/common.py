@@ -66,6 +66,19 @@ def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(total)
 
 
+class Codes(dict):
+    """Numbers keys as they are first asked for; `new` are those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = code = len(self)
+        self.new.append(key)
+        return code
+
+
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """An Arrow list column of int32 whose rows take `counts` values each."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe
+from . import bpe, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,24 @@ def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode(e, path).select("doc_id", "n_tokens", "ids_sha256", hex_of("decoded").alias("decoded_sha256"))
 
 
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    p = packing.pack(d.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")), public_tokenizers.path("word_bpe_49k.json"))
+    return p.select(F.col("route_id").alias("doc_id"), "start", "length", F.crc32("token_bytes").alias("ids_crc32"), F.col("route_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    found = secrets.find(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        F.col("page_id").alias("doc_id"), *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        hex_of(secrets.listed(of("assign", "access", "hex"))).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
