@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, secrets
+from . import bpe, chat, fingerprints, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,12 @@ def hex_of(text: str | Column) -> Column:
     return F.sha2(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"), 256)
 
 
+def op3_multiset_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    c = fingerprints.compare(d.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")))
+    return c.select(F.col("route_id").alias("doc_id"), F.length("directions").cast("long").alias("n_chars"), hex_of("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     e = bpe.encode(places(spark, sf), path)
@@ -31,6 +37,17 @@ def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode(e, path).select("doc_id", "n_tokens", "ids_sha256", hex_of("decoded").alias("decoded_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    d = d.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    c = chat.format_turns(d).withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return c.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), hex_of(told).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        hex_of("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     p = packing.pack(d.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")), public_tokenizers.path("word_bpe_49k.json"))
@@ -47,7 +64,9 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_chat": op7_chat,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
