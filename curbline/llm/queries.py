@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import bpe, chat, fingerprints, packing, secrets
+from ..session import Workspace, table
+from . import bpe, chat, fingerprints, languages, packing, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,20 @@ def hex_of(text: str | Column) -> Column:
     return F.sha2(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"), 256)
 
 
+def op1_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    folder = Workspace(spark, "warc").path("archives")
+    warc.write(table(spark, sf, "pages"), folder)
+    found = warc.resolved(warc.read(spark, folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_language_codes(spark: SparkSession, sf: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("place_id"), F.col("text").alias("name"), "lang", held.alias("held_out"))
+    model = languages.train(d.where("not held_out").select("name", "lang"))
+    return languages.predict(d.drop("lang"), model).select(F.col("place_id").alias("doc_id"), "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op3_multiset_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     c = fingerprints.compare(d.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")))
@@ -64,10 +78,21 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_language_codes": op2_language_codes,
     "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_chat": op7_chat,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_revisits": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, sha256(html) AS payload_digest, CAST(strlen(html) AS BIGINT) AS payload_bytes FROM p),
+        m AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN m.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN m.first < d.page_id THEN m.first END AS refers_to
+        FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 100""",
+}
