@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace, table
-from . import bpe, chat, fingerprints, languages, packing, secrets, warc
+from . import bpe, chat, embeddings, fingerprints, languages, packing, secrets, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,15 @@ def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode(e, path).select("doc_id", "n_tokens", "ids_sha256", hex_of("decoded").alias("decoded_sha256"))
 
 
+def op5_embedding_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    n = simhash.near_copies(places(spark, sf))
+    return n.select(F.col("place_id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -82,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op2_language_codes": op2_language_codes,
     "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_embedding_copies": op5_embedding_copies,
+    "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
