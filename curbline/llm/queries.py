@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace, table
-from . import bpe, chat, embeddings, fingerprints, languages, packing, secrets, simhash, warc
+from . import bpe, chat, embeddings, fingerprints, languages, packing, repeats, secrets, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,13 @@ def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
         hex_of("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    r = repeats.drop_repeats(d.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")))
+    n = F.octet_length("directions").cast("long")
+    return r.select(F.col("route_id").alias("doc_id"), n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), hex_of("kept").alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     p = packing.pack(d.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")), public_tokenizers.path("word_bpe_49k.json"))
@@ -94,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op5_embedding_copies": op5_embedding_copies,
     "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
+    "op8_suffix_repeats": op8_suffix_repeats,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
