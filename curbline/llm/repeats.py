@@ -315,8 +315,8 @@ def unpacked_stretches(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return key, first.astype(np.int64), many, pa.decompress(squeezed.tobytes(), decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(key, directions, kept, spans) from a text and its runs."""
+def cut_out(batch: pa.RecordBatch, whole_characters: bool) -> Iterator[pa.RecordBatch]:
+    """(route_id, directions, kept, spans) from a text and its runs."""
     for part in steps(batch, "directions", STEP):
         data, at = utf8(part.column("directions"))
         whole = part.column("whole").to_numpy(zero_copy_only=False)
@@ -332,6 +332,9 @@ def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         np.add.at(depth, begin, 1)
         np.add.at(depth, end, -1)
         gone = np.cumsum(depth[:-1]) > 0
+        if whole_characters and len(data):
+            lead = np.flatnonzero((data & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
         # maximal runs; a text's border ends one
         before = np.append(False, gone[:-1])
         before[at[:-1][at[:-1] < len(data)]] = False
@@ -345,7 +348,7 @@ def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("route_id"), part.column("directions"), kept, spans], ["route_id", "directions", "kept", "spans"])
 
 
-def drop_repeats(routes: DataFrame, hot: int = HOT) -> DataFrame:
+def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """(route_id, directions, kept, spans): every route's directions without the passages that a smaller route_id has.
 
     routes: route_id (long), directions; other columns are left out. Directions
@@ -353,7 +356,8 @@ def drop_repeats(routes: DataFrame, hot: int = HOT) -> DataFrame:
     that also begins in the directions of a smaller route_id goes; overlaps
     count, matches never run from one text into another, and all is judged on
     the input. kept (binary) is what remains; spans are the removed bytes as
-    (start, end), maximal and in order. Texts under 50 bytes are kept. Rows with
+    (start, end), maximal and in order. With whole_characters a character of
+    which a byte goes is removed as a whole, so that kept is UTF-8. Texts under 50 bytes are kept. Rows with
     the same route_id do not remove each other; a null route_id is the smallest.
     No rows in, none out.
 
@@ -386,4 +390,4 @@ def drop_repeats(routes: DataFrame, hot: int = HOT) -> DataFrame:
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     out = texts.join(copies.hint("shuffle_hash"), "key", "left").join(gone.hint("shuffle_hash"), "key", "left")
     out = out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("route_id"), "directions", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("runs", F.array().cast("array<struct<first:bigint,count:bigint>>")).alias("runs"))
-    return per_batch(out, cut_out, "route_id long, directions string, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return per_batch(out, lambda b: cut_out(b, whole_characters), "route_id long, directions string, kept binary, spans array<struct<start:bigint,end:bigint>>")
