@@ -23,7 +23,7 @@ from .common import kept, per_batch, steps, utf8
 
 FEATURES = 1 << 13  # hashed n-grams
 GRAMS = (1, 2, 3)
-SMOOTH = 0.5
+SMOOTH = 1e-5  # added to a feature's share; one that no language has says nothing
 SCALE = 4.0  # margins, in nats an n-gram, are multiplied by this before tanh
 SURE = 0.03  # least lead of the best codeword's loss over the next one's
 WEIGH_ROWS = 4_000  # training names, at most about so many, that weigh the bits
@@ -152,7 +152,7 @@ def train(names: DataFrame) -> Model | None:
     counts = np.zeros((len(languages), FEATURES))
     counts[np.searchsorted(languages, sums["lang"]), sums["feature"]] = sums["n"]
     # each language weighs the same in a bit, whatever its share of the names
-    share = (counts + SMOOTH) / (counts + SMOOTH).sum(1, keepdims=True)
+    share = counts / np.maximum(1, counts.sum(1, keepdims=True)) + SMOOTH
     code = codewords(len(languages))
     weights = np.zeros((FEATURES, code.shape[1]))
     for b in range(code.shape[1]):

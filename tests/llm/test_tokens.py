@@ -1,0 +1,151 @@
+"""Tokenisers, packing and secret scan against the libraries and plain loops."""
+
+import base64
+import random
+import re
+import struct
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from curbline.llm import bpe, packing, secrets
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+SIGNS = list(" \n\t\x0b\x1c'sdmtrevlabZ09,.!é中　́\x85²Ⅷ😀Σİ") + ["'ll", "   ", "é", "<|endoftext|>"]
+
+
+def odd_texts(n):
+    rng = random.Random(3)
+    return ["".join(rng.choices(SIGNS, k=rng.randint(0, 30))) for _ in range(n)]
+
+
+NAMES = [None, "", " ", "'", "it's Market St's", "a" * 700, "ab" * 400, "=" * 300, " " * 300 + "x", "Zürich Straße\n\nÉcole 12"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_is_the_library_and_turns_back(spark, library):
+    rows = [(i, t, -i) for i, t in enumerate(NAMES + odd_texts(800) + NAMES)]
+    df = spark.createDataFrame(rows, "place_id long, name string, pieces int")
+    got = bpe.decode(bpe.encode(df, RANKS), RANKS).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[r.place_id][1] or ""
+        assert r.token_ids == library.encode_ordinary(text)
+        assert bytes(r.decoded) == text.encode()
+        assert r.pieces == -r.place_id
+        starts = [m.start() for m in __import__("regex").finditer(public_tokenizers.PATTERN, text)] if "\x1c" not in text else None
+        if starts is not None:
+            assert r.piece_starts == [len(text[:s].encode()) for s in starts]
+
+
+def test_bpe_clashing_columns_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "Main", "old")], "place_id long, name string, token_ids string")
+    assert bpe.encode(df, RANKS).head().token_ids != "old"
+    assert bpe.decode(bpe.encode(df.limit(0), RANKS), RANKS).count() == 0
+
+
+def test_automaton_cache_starts_anew(library):
+    v = bpe.Vocabulary(RANKS)
+    v.codes([b" Main", b" Street"])
+    v.clear()
+    assert v.ids[v.starts[v.codes([b" Street"])[0]]] == library.encode_ordinary(" Street")[0]
+
+
+@pytest.fixture(scope="module")
+def word_library():
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_packing_keeps_every_id_once(spark, word_library):
+    rng = random.Random(5)
+    texts = NAMES + odd_texts(300) + [" ".join(rng.choices(["turn", "left.", "on", "Élan,", "main"], k=rng.randint(1, 4000))) for _ in range(30)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x"), (7, "again", "x")]
+    got = packing.pack(spark.createDataFrame(rows, "route_id long, directions string, sequence_id string"), WORDS).collect()
+    by, seqs = defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r.route_id].append(r)
+        seqs[r.sequence_id].append((r.offset, r.length))
+        assert len(r.token_bytes) == 4 * r.length > 0
+    for i, t in enumerate(texts):
+        if i == 7:
+            continue
+        ids = word_library.encode(t or "", add_special_tokens=False).ids + [1]
+        at = 0
+        for r in sorted(by[i], key=lambda r: r.start):
+            assert (r.start, r.route_tokens) == (at, len(ids))
+            assert struct.unpack(f"<{r.length}I", r.token_bytes) == tuple(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    assert sum(r.length for r in by[7]) == sum(len(word_library.encode(t or "", add_special_tokens=False).ids) + 1 for t in (texts[7], "again"))
+    assert sum(r.length for r in by[None]) == len(word_library.encode("no id").ids) + 1
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+
+
+def test_cuts_cost_no_more_than_a_plain_programme():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = rng.integers(1, 900, 12)
+        ends = np.cumsum(n)
+        stops = np.unique(rng.integers(1, ends[-1], 60))
+        cut, cost = packing.candidates(ends, stops)
+        least = {0: 0}
+        pad = lambda k: 0 if k & (k - 1) == 0 else packing.WINDOW - k
+        for j in range(1, len(cut)):
+            least[j] = cost[j] + min(least[i] + pad(int(cut[j] - cut[i])) for i in range(j) if cut[j] - cut[i] <= packing.WINDOW)
+        out = packing.chosen(cut, cost)
+        found = sum(pad(int(b - a)) for a, b in zip([0, *out[:-1]], out)) + cost[np.searchsorted(cut, out)].sum()
+        assert out[-1] == ends[-1] and found == least[len(cut) - 1]
+
+
+def test_no_route_no_piece(spark):
+    assert packing.pack(spark.createDataFrame([], "route_id long, directions string"), WORDS).count() == 0
+
+
+ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+PAGES = [
+    None, "", "Token = 'abc'", 'API_KEY": "abcdefgh"', "password=short token:longenough1", "é secret = ABCDEFGHé", "AKIA" + "Q" * 12 + " AKIAQ AKIAAKIA12345678",
+    "0" * 31, "f" * 32 + "g" + "a" * 40, "password=" + "0123456789abcdef" * 2, "token\n=12345678", "x" * 5000 + " secret:" + "z" * 5000, "token=token=token=abc", "password=AKIA" + "B" * 16,
+    "key qJ8x/Zp0vK3+tR7wLm2Ns5Yd end", "id 123e4567-e89b-12d3-a456-426614174000 and sha256-qJ8xZp0vK3tR7wLm2Ns5YdqJ8xZp0v", "the longestcompoundwordinthisverytext 20240131-20240201-20240202"]
+
+
+def test_secrets_of_fixed_and_random_form(spark):
+    rows = [(i, t, i) for i, t in enumerate(PAGES + PAGES[3:5])]
+    got = secrets.find(spark.createDataFrame(rows, "page_id long, html string, secrets int"), RANKS)
+    got = got.withColumn("clean", secrets.masked(F.col("html"), F.col("secrets"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = r.html or ""
+        want = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        kinds = [(s.start, secrets.KINDS.index(s.kind), s.end) for s in r.secrets]
+        assert kinds == sorted(kinds)
+        assert [k for k in kinds if k[1] < 3] == sorted(want)
+        covered = [False] * len(text)
+        for a, _, b in kinds:
+            covered[a:b] = [True] * (b - a)
+        plain = "".join(c for c, hidden in zip(text, covered) if not hidden)
+        assert (r.clean or "").replace("[SECRET]", "") == plain
+    random_ = {r.html[s.start : s.end] for r in got for s in r.secrets if s.kind == "random"}
+    assert random_ == {"qJ8x/Zp0vK3+tR7wLm2Ns5Yd"}
+    assert secrets.find(spark.createDataFrame([], "page_id long, html string"), RANKS).count() == 0
