@@ -17,42 +17,32 @@ from curbline.plans import catalog, compiled, derive
 
 HEADLINE = ("vehicle_edge_costs", "edge_durations", "access_masks", "bikeway_match", "elevation_sample", "reverse_geocode", "park_near", "geocode_search", "place_search",
             "moto_sites", "places_dedupe", "ride_progress")
-# Route search is timed on its own table set (one scale down by default: it is
-# the longest job), its graph and ends compiled within its time.
 ROUTES = ("batch_routes", "route_warnings", "route_steps")
 
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    budget = float(os.environ.get("BENCH_BUDGET_S", "900"))
     spark = session.local_session("curbline-bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load()
     session.ship()
     spark.range(1000).selectExpr("sum(id)").collect()
     times: dict[str, float] = {}
-    began = time.time()
 
     def timed(name, run):
-        if time.time() - began > budget:
-            return None
         t = time.time()
         out = run()
         times[name] = round(time.time() - t, 3)
         return out
 
     timed("compile_graph", lambda: [f(spark, sf).count() for f in (compiled.edges, compiled.bans, compiled.turns, compiled.strong, compiled.joined)])
-    for name in HEADLINE:
+    for name in (*HEADLINE, *ROUTES):
         # a full write-out of every row, without the cost of a sink
         timed(name, lambda: catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save())
-    small = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
-    route_sf = os.environ.get("BENCH_ROUTE_SF_DIR", small if os.path.isdir(small) else sf)
-    for name in ROUTES:
-        timed(name, lambda: catalog.QUERIES[name](spark, route_sf).write.format("noop").mode("overwrite").save())
-    counts = {"batch_routes": derive.table(spark, route_sf, "orders").count(), "reverse_geocode": derive.table(spark, sf, "orders").count(), "ride_progress": derive.table(spark, sf, "events").count()}
+    counts = {"batch_routes": derive.table(spark, sf, "orders").count(), "reverse_geocode": derive.table(spark, sf, "orders").count(), "ride_progress": derive.table(spark, sf, "events").count()}
     rates = {f"{k}_per_s": round(n / times[k], 1) for k, n in counts.items() if k in times}
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "rates": rates,
-                      "route_sf": os.path.basename(route_sf.rstrip("/")), "skipped": [n for n in (*HEADLINE, *ROUTES) if n not in times], "sf": os.path.basename(sf.rstrip("/"))}))
+                      "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()
 
 

@@ -28,10 +28,15 @@ def haversine(lon1, lat1, lon2, lat2, radius: float = params.EARTH_M) -> Column:
     return F.asin(F.sqrt(h)) * (2.0 * radius)
 
 
+def across(dlon: Column) -> Column:
+    """A difference of longitudes by the shorter way around the globe."""
+    return F.when(F.abs(dlon) > 180.0, dlon - 360.0 * F.signum(dlon)).otherwise(dlon)
+
+
 def flat_distance(lon0, lat0, lon, lat) -> Column:
     """Metres on a plane scaled at the first point's latitude."""
     lon0, lat0, lon, lat = (col(c) for c in (lon0, lat0, lon, lat))
-    dx = F.radians(lon - lon0) * F.cos(F.radians(lat0)) * params.EARTH_M
+    dx = F.radians(across(lon - lon0)) * F.cos(F.radians(lat0)) * params.EARTH_M
     dy = F.radians(lat - lat0) * params.EARTH_M
     return F.sqrt(dx * dx + dy * dy)
 

@@ -41,7 +41,7 @@ def unpadded_street(street) -> Column:
 def _capital_parts(word: Column) -> Column:
     """Upper-case each letter run's first letter, lower-case the rest."""
     parts = F.regexp_extract_all(word, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 10_000)))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
 
 
 def words(text: Column) -> Column:
@@ -59,7 +59,7 @@ def blockface_street(street) -> Column:
     def shape(w):
         bare = F.regexp_replace(w, "^0+", "")
         return F.when(w.rlike(r"^\d"), F.lower(F.when(bare == "", w).otherwise(bare))).otherwise(
-            F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))
+            F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
 
     return F.array_join(F.transform(words(col(street)), shape), " ")
 
@@ -99,12 +99,13 @@ def title(text) -> Column:
     return _capital_parts(col(text))
 
 
-ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+@F.pandas_udf(T.StringType())
+def _unescaped(values: pd.Series) -> pd.Series:
+    from html import unescape as decoded
+
+    return values.map(lambda v: None if v is None else decoded(v))
 
 
 def unescape(html) -> Column:
-    """The named and quote entities a page attribute uses; `&amp;` last."""
-    out = col(html)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """All named and numeric character references, as HTML 5 reads them."""
+    return _unescaped(col(html))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import geo
 from ..functions.policy import lookup
-from .spatial import around, cell
+from .spatial import around, columns, whole_deg
 
 CLASS_NAMES = {"CLASS I": 1, "CLASS II": 2, "CLASS III": 3, "CLASS IV": 4}
 COMPASS_DEG = {"N": 0.0, "E": 90.0, "S": 180.0, "W": 270.0}
 SAFER = {3: 1, 2: 2, 1: 3, 4: 4}
-PIECE_DEG = 0.0005
+PIECE_DEG = whole_deg(0.0005)
 
 
 def records(raw: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def match(segments: DataFrame, lines: DataFrame) -> DataFrame:
     lo = lambda c: F.floor(F.least(F.col(f"g.a.{c}"), F.col(f"g.b.{c}")) / PIECE_DEG)
     hi = lambda c: F.floor(F.greatest(F.col(f"g.a.{c}"), F.col(f"g.b.{c}")) / PIECE_DEG)
     covered = F.flatten(F.transform(F.sequence(lo("lon"), hi("lon")), lambda cx: F.transform(
-        F.sequence(lo("lat"), hi("lat")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+        F.sequence(lo("lat"), hi("lat")), lambda cy: F.struct(F.pmod(cx, F.lit(columns(PIECE_DEG))).alias("cx"), cy.alias("cy")))))
     pieces = (
         pieces.withColumn("cell", F.explode(covered)).withColumn("kx", scale)
         .select("cell", "cls", "dir", "contraflow", (F.col("g.a.lon") * F.col("kx")).alias("ax"), (F.col("g.a.lat") * ky).alias("ay"),

@@ -235,9 +235,9 @@ def unified_search(queries: DataFrame, stations: DataFrame, lockers: DataFrame,
 
     def named(df, kind, category):
         rows = df.withColumn("key", fold("name")).where("key <> ''")
-        # the first `limit` records of a name and text are all a list can show
-        first = Window.partitionBy("key", F.lower("name")).orderBy("row_id")
-        rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+        # a list shows one record of a name: the first in the city, if one is
+        best = F.struct((~geo.in_service_area("lon", "lat")).alias("out"), "row_id")
+        rows = rows.groupBy("key", F.lower("name").alias("low")).agg(F.min_by(F.struct("name", "lon", "lat", "address", "id", "row_id"), best).alias("r")).select("key", "r.*")
         hits = match_names(typed, rows.select("key").distinct(), Workspace(ws.spark, kind))
         return asked.join(hits, "q").join(rows, "key").select(
             "query_id", F.lit(kind).alias("kind"), F.col("name").alias("text"), F.lit(category).alias("category"), "lon", "lat", "address",

@@ -1,7 +1,9 @@
 """Joins in space, as equi-joins on map cells.
 
-A point is looked up in the 3×3 cells around it, so two points closer than a
-cell always meet. Points at one place are joined once: duplicates are folded
+A cell is as many degrees wide as it is high. A point is looked up in the rows
+next to its own and in as many columns as its own latitude takes to reach one
+cell height of metres, columns counting around the globe, so two points closer
+than a cell's height always meet. Points at one place are joined once: duplicates are folded
 together before the shuffle and put back after it. Nearest joins start with
 small cells and only carry the points that found nothing on to larger ones,
 so a crowded cell is met with a small neighbourhood.
@@ -21,20 +23,34 @@ from ..session import Workspace
 M_PER_DEG = math.pi * params.EARTH_M / 180.0
 
 
+def columns(deg: float) -> int:
+    """Cells around the globe."""
+    return max(1, round(360.0 / deg))
+
+
 def cell(lon, lat, deg: float) -> Column:
     """Column and row of the map cell a point lies in."""
-    return F.struct(F.floor(geo.col(lon) / deg).alias("cx"), F.floor(geo.col(lat) / deg).alias("cy"))
+    return F.struct(F.pmod(F.floor(geo.col(lon) / deg), F.lit(columns(deg))).alias("cx"), F.floor(geo.col(lat) / deg).alias("cy"))
 
 
 def around(lon, lat, deg: float) -> Column:
-    """The 3×3 cells around a point, as an array to explode."""
+    """The cells around a point that hold all points within a cell's height, as an array to explode."""
+    world = columns(deg)
     cx, cy = F.floor(geo.col(lon) / deg), F.floor(geo.col(lat) / deg)
-    return F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    squeeze = F.greatest(F.cos(F.radians(geo.col(lat))), F.lit(1e-9))
+    reach = F.least(F.ceil(1.0 / squeeze), F.lit(world // 2 + 1)).cast("long")
+    xs = F.array_distinct(F.transform(F.sequence(cx - reach, cx + reach), lambda x: F.pmod(x, F.lit(world))))
+    return F.flatten(F.transform(xs, lambda x: F.array(*[F.struct(x.alias("cx"), (cy + j).alias("cy")) for j in (-1, 0, 1)])))
+
+
+def whole_deg(deg: float) -> float:
+    """The next cell height of which a whole number goes around the globe."""
+    return 360.0 / max(1, math.floor(360.0 / deg))
 
 
-def cell_deg(radius_m: float, lat_limit: float = 60.0) -> float:
-    """A cell at least `radius_m` wide in both directions up to a latitude."""
-    return radius_m / (M_PER_DEG * math.cos(math.radians(lat_limit)))
+def cell_deg(radius_m: float) -> float:
+    """A cell at least `radius_m` high."""
+    return whole_deg(radius_m / M_PER_DEG)
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius_m: float, keep_left: list[str], keep_right: list[str]) -> DataFrame:
@@ -102,27 +118,27 @@ def nearest_k(points: DataFrame, sites: DataFrame, k: int, ws: Workspace, order:
     at_place = Window.partitionBy("lon", "lat").orderBy(order)
     there = ws.write(sites.withColumn("nth", F.row_number().over(at_place)).where(F.col("nth") <= k).drop("nth"), "knn-sites")
     total = there.count()
-    pending, found, level, deg = ws.write(here, "knn-points-0"), [], 0, first_deg
+    pending, found, level, deg = ws.write(here, "knn-points-0"), [], 0, whole_deg(first_deg)
     ranked = Window.partitionBy("plon", "plat").orderBy("flat", order)
     while True:
         whole = deg >= 360.0
         a = pending.withColumn("cell", F.explode(around("plon", "plat", deg)))
         b = there.withColumn("cell", cell("lon", "lat", deg))
         squeeze = F.cos(F.radians(F.col("plat")))
-        dx, dy = (F.col("lon") - F.col("plon")) * squeeze, F.col("lat") - F.col("plat")
+        dx, dy = geo.across(F.col("lon") - F.col("plon")) * squeeze, F.col("lat") - F.col("plat")
         top = (
             a.join(b, "cell").withColumn("flat", F.round(F.sqrt(dx * dx + dy * dy), 12))
             .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
         )
         sure = F.lit(whole) | ((F.count("*").over(Window.partitionBy("plon", "plat")) >= min(k, total))
-                               & (F.max("flat").over(Window.partitionBy("plon", "plat")) <= deg * squeeze))
+                               & (F.max("flat").over(Window.partitionBy("plon", "plat")) <= deg))
         top = ws.write(top.withColumn("sure", sure).drop("cell"), f"knn-found-{level}")
         found.append(top.where("sure").drop("sure"))
         level += 1
         pending = ws.write(pending.join(found[-1].select("plon", "plat").distinct(), ["plon", "plat"], "left_anti"), f"knn-points-{level}")
         if whole or pending.isEmpty():
             break
-        deg *= 4
+        deg = whole_deg(4 * deg) if deg < 90.0 else 360.0
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -48,7 +48,8 @@ def ride_events(spark, sf):
         span = events.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()  # two numbers, needed as literals in a stream
         starts = events.groupBy(F.col("user_id").cast("string").alias("rider")).agg(F.min(F.col("ts").cast("timestamp")).alias("ts"))
         routes = ws.write(starts.withColumn("route", plan()), "plans")
-        stream_in = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        # a pattern takes a table that is one file and one that is a folder of part files
+        stream_in = spark.readStream.schema(events.schema).parquet(f"{sf.rstrip('/')}/events.parque[t]")
         plans_in = spark.readStream.schema(routes.schema).parquet(ws.path("plans"))
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ride.STORE)
         out = ride.follow_riders(plans_in, fixes_from(stream_in, F.lit(span["a"]), F.lit(span["b"])))
