@@ -22,9 +22,11 @@ LOCAL_SETTINGS = {
 }
 
 
-def local_session(name: str = "curbline", cores: int | str = "*") -> SparkSession:
-    """A session for tests and the bench. Jobs on a cluster bring their own."""
+def local_session(name: str = "curbline", cores: int | str = "*", shared: str | None = None) -> SparkSession:
+    """A session for tests and the bench, with its folder for written tables. Jobs on a cluster bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in LOCAL_SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

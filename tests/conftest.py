@@ -1,7 +1,8 @@
-"""One session, and small street networks with known answers.
+"""One session, and a made-up lattice town that plain Python can solve too.
 
-The networks are separate worlds, 6 km apart in one table: a search never
-crosses from one to another, so one solve answers for all of them.
+Junctions stand on a skewed lattice: rows are avenues, columns are lanes that
+lean east. Classes, one-way rules and heights follow from row and column, so a
+test can say what it expects of any street without a table of results.
 """
 
 from __future__ import annotations
@@ -19,57 +20,58 @@ from curbline.functions import policy  # noqa: E402
 from curbline.operators import components, itinerary, paths, roads, steps, walking  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-LON, LAT = -122.50, 37.78
+LON, LAT = -122.44, 37.74
+ROWS, COLS = 6, 8
+AVENUES = ("Alder", "Birch", "Cedar", "Dogwood", "Elm", "Fir")
+AVENUE_CLASS = ("secondary", "residential", "tertiary", "cycleway", "living_street", "service")
 SEGMENT = ("seg_id string, name string, class string, speed int, ow int, ow_moto int, bike_desig int, "
            "conns array<struct<connector_id:string,at:double>>, geometry array<struct<lon:double,lat:double>>")
-TOWN = {"A": (0, 0), "B": (100, 0), "C": (200, 0), "D": (0, -100), "E": (100, -100), "F": (200, -100), "G": (0, -200),
-        "H": (-100, 0), "H2": (-100, -100), "X": (250, -100), "Y": (300, -100), "I": (-100, 100), "J": (-100, -200)}
-STREETS = [("main1", "Main Street", "residential", "A", "B", {}), ("main2", "Main Street", "residential", "B", "C", {}),
-           ("side1", "Side Street", "residential", "D", "E", {}), ("side2", "Side Street", "residential", "E", "F", {}),
-           ("vert1", "Cross Street", "residential", "A", "D", {}), ("vert2", "Cycle Path", "cycleway", "C", "F", {}),
-           ("oneway", "One Way Alley", "service", "D", "G", {"ow": 1}), ("fast", "Fast Road", "secondary", "H", "A", {"speed": 40}),
-           ("slow", "Slow Boulevard", "secondary", "H2", "D", {"speed": 20}), ("steps", "Stair Hill", "steps", "F", "X", {}),
-           ("hwy", "Fast Freeway", "motorway", "H", "I", {}), ("walk", "Walkway", "footway", "F", "Y", {}),
-           ("living", "Garden Street", "living_street", "H2", "J", {})]
-SQUARE = {"A": (0, 0), "B": (100, 0), "C": (100, -100), "D": (0, -100)}
-SQUARE_STREETS = [("n", "North Street", "residential", "A", "B", {"ow": 1, "ow_moto": 1}), ("e", "East Street", "residential", "B", "C", {}),
-                  ("s", "South Street", "residential", "C", "D", {}), ("w", "West Street", "residential", "D", "A", {})]
-DETOUR = {"A": (0, 0), "B": (300, 0), "C": (0, -100), "D": (300, -100)}
-DETOUR_STREETS = [("st", "Busy Street", "residential", "A", "B", {}), ("p1", "Park Path", "cycleway", "A", "C", {}),
-                  ("p2", "Park Path", "cycleway", "C", "D", {}), ("p3", "Park Path", "cycleway", "D", "B", {})]
-STUB = {"a": (0, 0), "b": (100, 0), "c": (100, -13), "d": (100, -100)}
-STUB_STREETS = [("m", "Main Street", "residential", "a", "b", {}), ("s", None, "residential", "b", "c", {}), ("x", "Cross Street", "residential", "c", "d", {})]
-CURVE = {"p": (0, 0), "q": (100, 0), "r": (100, 100)}
-CURVE_STREETS = [("c1", "Curve Street", "residential", "p", "q", {}), ("c2", "Curve Street", "residential", "q", "r", {})]
-LONG = {"0": (0, 0), "1": (100, 0), "2": (200, 0), "3": (300, 0), "4": (300, 100)}
-LONG_STREETS = [("b1", "Long Street", "secondary", "0", "1", {"speed": 25}), ("b2", "Long Street", "secondary", "1", "2", {}),
-                ("b3", "Other Street", "secondary", "2", "3", {}), ("b4", "Long Street", "primary", "2", "4", {})]
-WORLDS = {"town": (TOWN, STREETS), "hill": (TOWN, STREETS), "ban": (TOWN, STREETS), "lift": (TOWN, STREETS), "square": (SQUARE, SQUARE_STREETS),
-          "detour": (DETOUR, DETOUR_STREETS), "stub": (STUB, STUB_STREETS), "curve": (CURVE, CURVE_STREETS), "long": (LONG, LONG_STREETS)}
-LIFTED = {"hill": {"B": 20.0, "C": 20.0}}
-
-
-def place(world: str, x: float, y: float) -> tuple[float, float]:
-    k = list(WORLDS).index(world)
-    east, north = 4000.0 * (k % 3), 2000.0 * (k // 3)
-    return LON + (x + east) / (111320.0 * math.cos(math.radians(LAT))), LAT + (y + north) / 111320.0
+
+
+def place(x: float, y: float) -> tuple[float, float]:
+    """Metres east and north of the town's corner."""
+    return LON + x / (111320.0 * math.cos(math.radians(LAT))), LAT + y / 111320.0
+
+
+def spot(r: int, c: int) -> tuple[float, float]:
+    return 130.0 * c + 35.0 * r, 110.0 * r
+
+
+def junctions():
+    return [(f"j{r}{c}", *place(*spot(r, c)), 3.0 * max(0, 3 - abs(c - 4)) if r == 1 else 0.0) for r in range(ROWS) for c in range(COLS)]
+
+
+def streets():
+    """Avenue 2 runs east only (motorcycles both ways), lane 5 north only; lane 3 is stairs between avenues 3 and 4."""
+    out = []
+
+    def add(seg, name, cls, a, b, ow=3, ow_moto=3, speed=None, bend=None):
+        ends = [place(*spot(*a)), place(*spot(*b))]
+        line = [ends[0], *([place(*bend)] if bend else []), ends[1]]
+        out.append((seg, name, cls, speed, ow, ow_moto, 0, [(f"j{a[0]}{a[1]}", 0.0), (f"j{b[0]}{b[1]}", 1.0)], line))
+
+    for r in range(ROWS):
+        for c in range(COLS - 1):
+            add(f"a{r}{c}", f"{AVENUES[r]} Avenue", AVENUE_CLASS[r], (r, c), (r, c + 1), ow=1 if r == 2 else 3, speed=30 if (r, c) == (1, 0) else None,
+                bend=(spot(r, c)[0] + 65.0, spot(r, c)[1] + 9.0) if r == 4 else None)
+    for c in range(COLS):
+        for r in range(ROWS - 1):
+            stairs = (r, c) == (3, 3)
+            add(f"l{r}{c}", None if c == 6 else f"{c} Lane", "steps" if stairs else "residential", (r, c), (r + 1, c), ow=1 if c == 5 else 3, ow_moto=1 if c == 5 else 3)
+    return out
+
+
+#: Off avenue 0 eastward into lane 2, and off lane 4 northward into avenue 1 eastward.
+BANS = [("a01", "j02", "l02", 1), ("l04", "j14", "a14", 1), ("a01", "j02", "gone", 3)]
 
 
 def tables(spark):
-    nodes, segs = [], []
-    for w, (pts, streets) in WORLDS.items():
-        for n, xy in pts.items():
-            nodes.append((f"{w}-{n}", *place(w, *xy), LIFTED.get(w, {}).get(n, 0.0)))
-        for sid, name, cls, a, b, extra in streets:
-            line = [dict(zip(("lon", "lat"), place(w, *pts[p]))) for p in (a, b)]
-            segs.append((f"{w}-{sid}", name, cls, extra.get("speed"), extra.get("ow", 3), extra.get("ow_moto", 3), extra.get("bike_desig", 0),
-                         [(f"{w}-{a}", 0.0), (f"{w}-{b}", 1.0)], [(p["lon"], p["lat"]) for p in line]))
-    return spark.createDataFrame(nodes, "node_id string, lon double, lat double, elev double"), spark.createDataFrame(segs, SEGMENT)
+    return spark.createDataFrame(junctions(), "node_id string, lon double, lat double, elev double"), spark.createDataFrame(streets(), SEGMENT)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session.local_session("curbline-tests", 8)
+def spark(tmp_path_factory):
+    s = session.local_session("curbline-tests", 8, str(tmp_path_factory.mktemp("shared")))
     s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     session.ship()
@@ -78,15 +80,15 @@ def spark():
 
 @pytest.fixture(scope="session")
 def graph(spark):
-    ws = session.Workspace(spark, "toy")
+    ws = session.Workspace(spark, "town")
     nodes, segs = tables(spark)
     nodes, segs = ws.write(nodes, "nodes"), ws.write(segs, "segs")
     inferred = ws.write(components.street_speeds(segs, ws), "inferred")
     edges = ws.write(roads.with_climb(roads.edges(roads.whole_segments(segs, nodes), inferred), nodes), "edges")
-    raw = spark.createDataFrame([("ban-main1", "ban-B", "ban-main2", 1), ("lift-main1", "lift-B", "lift-main2", 1), ("ban-main1", "ban-B", "gone", 3)],
-                                "seg_id string, connector_id string, to_seg string, mask int")
-    lon, lat = place("lift", 100, 0)
-    rules = spark.createDataFrame([(1, "only_right_turn", lon, lat, ["Main Street"], ["Other"])],
+    raw = spark.createDataFrame(BANS, "seg_id string, connector_id string, to_seg string, mask int")
+    # the city lifts the second ban for bicycles
+    lon, lat = place(*spot(1, 4))
+    rules = spark.createDataFrame([(1, "only_left_turn", lon, lat, ["4 Lane"], ["Birch Avenue"]), (2, "no_right_turn", lon, lat, ["4 Lane"], ["Birch Avenue"])],
                                   "rule_id int, restriction string, via_lon double, via_lat double, from_names array<string>, to_names array<string>")
     bans = ws.write(roads.lift_bans_for_bicycles(roads.resolved_bans(raw, segs, nodes), rules, segs, nodes), "bans")
     classes = params.vehicles(spark).where("routable and vehicle = rides_as")
@@ -100,29 +102,35 @@ def graph(spark):
     return {"nodes": nodes, "segments": segs, "edges": edges, "bans": bans, "access": access, "turns": turns, "comps": comps, "joined": joined, "inferred": inferred}
 
 
-TRIPS = {
-    "af": ("town", "scooter", (0, 0), (200, -100)), "af_board": ("town", "emb", (0, 0), (200, -100)), "h2g": ("town", "scooter", (-100, -100), (0, -200)),
-    "to_x": ("town", "scooter", (0, 0), (250, -100)), "same": ("town", "scooter", (0, 0), (0, 0)), "emoto": ("town", "emoto", (0, 0), (200, 0)), "odd": ("town", "hoverboard", (0, 0), (200, 0)),
-    "far": ("town", "scooter", (0, 900), (200, 0)), "ac_hill": ("hill", "scooter", (0, 0), (200, -100)), "ac_ban": ("ban", "scooter", (0, 0), (200, 0)),
-    "lift_scooter": ("lift", "scooter", (0, 0), (200, 0)), "lift_moped": ("lift", "moped", (0, 0), (200, 0)),
-    "hop": ("square", "ebike_c3", (30, 2), (70, 2)), "loop": ("square", "ebike_c3", (70, 2), (30, 2)), "north": ("square", "ebike_c3", (100, -70), (100, -30)),
-    "south": ("square", "ebike_c3", (100, -30), (100, -70)), "spot": ("square", "ebike_c3", (50, -100), (50, -100)), "corner": ("square", "ebike_c3", (0, 1), (100, -50)),
-    "around": ("square", "ebike_c3", (30, 2), (100, -60)),
-    "det_board": ("detour", "emb", (0, 0), (300, 0)), "det_euc": ("detour", "euc", (0, 0), (300, 0)), "det_scooter": ("detour", "scooter", (0, 0), (300, 0)),
-    "stub": ("stub", "scooter", (0, 0), (100, -100)), "curve": ("curve", "scooter", (0, 0), (100, 100)),
-}
+def trips():
+    """Junction to junction in steps through the town, for all vehicles, and some that start or end amid a block."""
+    rides = ("scooter", "emb", "ebike_c3", "moped")
+    out = []
+    for k in range(40):
+        a, b = (k * 5 % ROWS, k * 3 % COLS), (k * 7 % ROWS, (k * 5 + 3) % COLS)
+        out.append((f"t{k}", rides[k % 4], *place(*spot(*a)), *place(*spot(*b))))
+    x, y = spot(1, 2)
+    mid = place(x + 50.0, y - 4.0)
+    out += [("mid", "ebike_c3", *mid, *place(*spot(5, 6))), ("into", "moped", *place(*spot(5, 1)), *mid), ("short", "ebike_c3", *mid, *place(x + 90.0, y + 3.0)), ("back", "ebike_c3", *place(x + 90.0, y + 3.0), *mid)]
+    out += [("same", "scooter", *place(*spot(2, 2)), *place(*spot(2, 2))), ("emoto", "emoto", *mid, *mid), ("odd", "sled", *mid, *mid), ("far", "scooter", *place(-900.0, 0.0), *mid), ("out", "scooter", -123.5, 37.5, *mid)]
+    return out
+
+
 BOX = (-123.0, 37.0, -122.0, 38.5)
 
 
-@pytest.fixture(scope="session")
-def answers(spark, graph):
-    ws = session.Workspace(spark, "toy-routes")
-    rows = [(k, v, *place(w, *a), *place(w, *b)) for k, (w, v, a, b) in TRIPS.items()]
-    trips = spark.createDataFrame(rows, "req_id string, vehicle string, start_lon double, start_lat double, end_lon double, end_lat double")
+@pytest.fixture(scope="session", params=[None, 0.003], ids=["wide", "narrow"])
+def answers(request, spark, graph):
+    """All trips solved, once with the usual tiles and once with tiles of a few blocks."""
+    usual = paths.FIRST_TILE_DEG
+    paths.FIRST_TILE_DEG = request.param or usual
+    ws = session.Workspace(spark, "town-routes")
+    asked = spark.createDataFrame(trips(), "req_id string, vehicle string, start_lon double, start_lat double, end_lon double, end_lat double")
     vehicles = params.vehicles(spark)
-    asked = ws.write(paths.request_status(trips, vehicles, BOX), "asked")
+    asked = ws.write(paths.request_status(asked, vehicles, BOX), "asked")
     g = graph
     out = paths.solve(asked.where("status is null"), g["nodes"], g["access"], g["turns"], g["edges"], g["comps"], g["joined"], ws)
+    paths.FIRST_TILE_DEG = usual
     ends = ["who", "start_lon", "start_lat", "end_lon", "end_lat"]
     r = asked.join(out["routes"].withColumnRenamed("status", "found"), ends, "left").withColumn("status", F.coalesce("status", "found"))
     r = ws.write(r, "answers")
@@ -134,7 +142,7 @@ def answers(spark, graph):
     told = steps.build(parts, signs, g["nodes"])
     by_req = lambda df: r.select("req_id", *key).join(df, key)
     return {
-        "status": {x.req_id: x.status for x in r.collect()}, "facts": {x.req_id: x for x in facts.collect()},
+        "rows": {x.req_id: x for x in r.collect()}, "facts": {x.req_id: x for x in facts.collect()},
         "edges": _grouped(by_req(parts), "seq"), "steps": _grouped(by_req(told), "index"), "traffic": _grouped(by_req(itinerary.traffic_runs(parts)), "run")}
 
 
@@ -145,12 +153,9 @@ def _grouped(df, order):
     return out
 
 
-WALKS = {"fx": ("town", (200, -100), (250, -100)), "ga": ("town", (0, -200), (0, 0)), "mid": ("town", (0, 0), (160, 5)), "here": ("town", (0, 0), (1, 1)), "apart": ("town", (0, 0), (4000, 0))}
-
-
 @pytest.fixture(scope="session")
 def strolls(spark, graph):
-    rows = [(k, *place(w, *a), *place(w, *b)) for k, (w, a, b) in WALKS.items()]
+    rows = [(f"w{k}", *place(*spot(k % ROWS, k % COLS)), *place(*spot(k * 5 % ROWS, (k * 3 + 1) % COLS))) for k in range(20)] + [("away", *place(0.0, 0.0), *place(9000.0, 0.0))]
     asked = spark.createDataFrame(rows, "id string, start_lon double, start_lat double, end_lon double, end_lat double")
-    found = walking.solve(asked.drop("id"), graph["nodes"], graph["edges"], session.Workspace(spark, "toy-walks"))
+    found = walking.solve(asked.drop("id"), graph["nodes"], graph["edges"], session.Workspace(spark, "town-walks"))
     return {x.id: x for x in asked.join(found, ["start_lon", "start_lat", "end_lon", "end_lat"]).collect()}

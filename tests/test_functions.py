@@ -11,28 +11,49 @@ from curbline import params, session
 from curbline.functions import geo, policy, text
 from curbline.operators import bikeways, roads, search, spatial
 from curbline.sources import landed, sinks
-from curbline.streaming import ride
 
 
 def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 
 
-def test_distance_text(spark):
-    cases = [(0, "0 ft"), (12, "40 ft"), (22.8, "75 ft"), (29.0, "95 ft"), (29.8, "100 ft"), (60, "200 ft"), (160, "520 ft"), (161, "0.1 mi"), (1609.344, "1.0 mi"), (3999, "2.5 mi")]
-    df = spark.createDataFrame([(float(m), t) for m, t in cases], "m double, t string").select("t", geo.distance_text("m").alias("got"))
-    assert all(r.t == r.got for r in df.collect())
-
-
-def test_category_banding(spark):
-    cases = [("residential", None, False, None, "shared"), ("service", None, False, None, "quiet"), ("unclassified", None, False, None, "shared"), ("tertiary", None, False, None, "shared"),
-             ("tertiary", 30, False, None, "arterial"), ("secondary", None, False, None, "arterial"), ("living_street", None, False, None, "living_street"), ("footway", None, False, None, "sidewalk"),
-             ("cycleway", None, False, None, "bike_path"), ("path", None, False, None, "bike_path"), ("residential", None, False, 1, "bike_path"), ("secondary", None, False, 4, "bike_path"),
-             ("secondary", None, False, 2, "bike_lane"), ("residential", None, True, 3, "shared"), ("residential", None, True, 0, "shared"), ("residential", None, True, None, "bike_lane"),
-             ("motorway", None, False, None, None), ("steps", None, False, None, "steps"), ("bridleway", None, False, None, None), ("residential", 35, False, None, "arterial"),
-             ("residential", 10, False, None, "quiet"), ("residential", 50, False, None, None)]
-    df = spark.createDataFrame(cases, "c string, s int, d boolean, b int, want string").select("want", policy.category("c", "s", F.col("d"), F.col("b")).alias("got"))
-    assert all(r.want == r.got for r in df.collect())
+def test_distance_text_against_its_rule(spark):
+    """Multiples of 5 ft up to 97.5 ft, then of 10, ties to even; from a tenth of a mile on, miles."""
+    metres = [0.37 * k for k in range(500)] + [97.5 / params.FEET_PER_M, 0.1 * params.MILE_M, 2.345 * params.MILE_M]
+    for r in spark.createDataFrame([(m,) for m in metres], "m double").select("m", geo.distance_text("m").alias("got")).collect():
+        feet = r.m * params.FEET_PER_M
+        step = 5 if feet < 97.5 else 10
+        assert r.got == (f"{round(feet / step) * step} ft" if r.m < 0.1 * params.MILE_M else f"{r.m / params.MILE_M:.1f} mi")
+
+
+def test_category_of_every_class_speed_and_survey(spark):
+    """All combinations against the policy's order of precedence."""
+    classes = [*params.CLASS_SPEED, *params.OFF_STREET_CLASSES, *params.UNRIDDEN_CLASSES, "steps", "footway", "unknown"]
+    rows = [(c, s, d, b) for c in classes for s in (None, 12, 20, 21, 28, 29, 45, 46) for d in (False, True) for b in (None, 0, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "c string, s int, d boolean, b int").select("*", policy.category("c", "s", F.col("d"), F.col("b")).alias("got"))
+    for r in df.collect():
+        mph = r.s if r.s is not None else params.CLASS_SPEED.get(r.c, params.OTHER_CLASS_SPEED)
+        lane = r.d if r.b is None else r.b == 2
+        if r.c in params.UNRIDDEN_CLASSES:
+            want = None
+        elif r.c == "steps":
+            want = "steps"
+        elif r.c in params.OFF_STREET_CLASSES or r.b in (1, 4):
+            want = "bike_path"
+        elif lane:
+            want = "bike_lane"
+        elif r.c in ("footway", "living_street"):
+            want = {"footway": "sidewalk", "living_street": "living_street"}[r.c]
+        else:
+            want = None if mph > params.TOP_SPEED else "quiet" if mph <= params.QUIET_TOP else "shared" if mph <= params.SHARED_TOP else "arterial"
+        assert r.got == want, r
+
+
+def test_words_of_any_length_and_all_entities(spark):
+    long = "a" * 10_050
+    r = one(spark, text.title(F.lit(long)).alias("a"), text.blockface_street(F.lit(long)).alias("b"), text.unescape(F.lit("&eacute;&#8211;&#x2019;&amp;lt; &quot;x&quot; &unknown;")).alias("c"))
+    assert (r.a, r.b) == ("A" + long[1:], "A" + long[1:])
+    assert r.c == "é–’&lt; \"x\" &unknown;"
 
 
 def test_text(spark):
@@ -83,19 +104,48 @@ def test_features_round_trip(spark, tmp_path):
 
 
 def test_bikeway_match(spark):
+    """One street per case, 400 m apart, each 180 m long to the north-east, with a survey line beside it or not."""
     from conftest import SEGMENT, place
 
-    def seg(i, cls, *pts):
-        return (i, None, cls, None, 3, 3, 0, [("x", 0.0), ("y", 1.0)], [place("town", *p) for p in pts])
+    def at(k, along, aside):
+        return place(400.0 * k + 0.8 * along + 0.6 * aside, 0.6 * along - 0.8 * aside)
+
+    cases = {  # class of the street, survey class, direction, contraflow, metres aside, where the line runs, what is matched
+        "lane": ("residential", 2, None, False, 3, (0, 180), (2, 2, 0)), "one_way_track": ("residential", 4, "E", False, 3, (0, 180), (4, 0, 0)), "against": ("service", 2, "W", True, 2, (0, 180), (0, 2, 2)),
+        "signed": ("tertiary", 3, None, False, 1, (0, 180), (3, 3, 0)), "walk": ("footway", 2, None, False, 3, (0, 180), None), "trail": ("footway", 1, None, False, 3, (0, 180), (1, 1, 0)),
+        "far": ("residential", 2, None, False, 60, (0, 180), None), "brief": ("residential", 2, None, False, 3, (0, 30), None)}
+    segs = [(n, None, c[0], None, 3, 3, 0, [("x", 0.0), ("y", 1.0)], [at(k, 0, 0), at(k, 180, 0)]) for k, (n, c) in enumerate(cases.items())]
+    lines = [(k, c[1], c[2], c[3], [at(k, c[5][0], c[4]), at(k, c[5][1], c[4])]) for k, c in enumerate(cases.values())]
+    got = bikeways.match(spark.createDataFrame(segs, SEGMENT), spark.createDataFrame(lines, "line_id int, cls int, dir string, contraflow boolean, geometry array<struct<lon:double,lat:double>>"))
+    assert {r.seg_id: (r.fwd, r.bwd, r.opened) for r in got.collect()} == {n: c[6] for n, c in cases.items() if c[6]}
+
+
+@pytest.mark.parametrize("lat", [0.0, 37.7, 60.5, 70.0, 80.0, -84.9])
+@pytest.mark.parametrize("lon", [12.0, 179.9995, -180.0])
+def test_pairs_at_every_latitude_and_the_date_line(spark, lat, lon):
+    rng = random.Random(int(lat * 10))
+    wrap = lambda x: (x + 540.0) % 360.0 - 180.0
+    spread = 0.004 / max(0.05, math.cos(math.radians(lat)))
+    spot = lambda: (wrap(lon + (rng.random() - 0.5) * spread), lat + (rng.random() - 0.5) * 0.004)
+    left, right = [(i, *spot()) for i in range(25)], [(i, *spot()) for i in range(25)]
+    got = spatial.pairs_within(spark.createDataFrame(left, "a int, lon double, lat double"), spark.createDataFrame(right, "b int, lon double, lat double"), 150.0, ["a"], ["b"])
 
-    segs = spark.createDataFrame([seg("main", "residential", (0, 0), (100, 0)), seg("side", "residential", (0, -100), (100, -100)), seg("cross", "residential", (0, 0), (0, -100)),
-                                  seg("walk", "footway", (200, -100), (300, -100)), seg("fast", "secondary", (-100, 0), (0, 0)), seg("alley", "service", (0, -100), (0, -200))], SEGMENT)
-    lane = lambda i, c, d, contra, *pts: (i, c, d, contra, [place("town", *p) for p in pts])
-    lines = spark.createDataFrame([lane(1, 2, None, False, (0, 2), (200, 2)), lane(2, 4, "E", False, (0, -98), (200, -98)), lane(3, 3, None, False, (1, 0), (1, -100)),
-                                   lane(4, 2, None, False, (200, -103), (300, -103)), lane(5, 2, None, False, (-100, 40), (0, 40)), lane(6, 2, "N", True, (1, -200), (1, -100))],
-                                  "line_id int, cls int, dir string, contraflow boolean, geometry array<struct<lon:double,lat:double>>")
-    got = {r.seg_id: (r.fwd, r.bwd, r.opened) for r in bikeways.match(segs, lines).collect()}
-    assert got == {"main": (2, 2, 0), "side": (4, 0, 0), "cross": (3, 3, 0), "alley": (0, 2, 2)}
+    def metres(p, q):
+        return math.hypot(math.radians((q[1] - p[1] + 540.0) % 360.0 - 180.0) * math.cos(math.radians(p[2])), math.radians(q[2] - p[2])) * params.EARTH_M
+
+    want = {(p[0], q[0]) for p in left for q in right if metres(p, q) <= 150.0}
+    assert want and {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_the_namesake_in_the_city_is_shown(spark):
+    ws = session.Workspace(spark, "namesakes")
+    empty = "row_id bigint, id string, name string, lon double, lat double, address string"
+    inside = (params.SERVICE_BOX[0] + 0.01, params.SERVICE_BOX[1] + 0.01)
+    stations = [(i, f"s{i}", "Harbour Charge", -120.0, 37.0, "x") for i in range(9)] + [(9, "s9", "Harbour Charge", *inside, "x")]
+    places = spark.createDataFrame([], "row_id bigint, id string, name string, category string, address string, lon double, lat double, source int")
+    addresses = spark.createDataFrame([], "row_id bigint, street string, number string, unit string, postcode string, lon double, lat double")
+    got = search.unified_search(spark.createDataFrame([(1, "harbour")], "query_id int, query string"), spark.createDataFrame(stations, empty), spark.createDataFrame([], empty), places, addresses, ws)
+    assert [(r.station_id, r.in_city) for r in got.collect()] == [("s9", True)]
 
 
 def test_nearest_joins_equal_brute_force(spark):
@@ -136,58 +186,3 @@ def test_close_streets_equal_brute_force(spark):
     for t in typed:
         want = difflib.get_close_matches(t, streets, n=30, cutoff=0.75)
         assert [got.get(t, {}).get(i + 1) for i in range(len(want))] == want
-
-
-def line():
-    from conftest import place
-
-    return ride.RouteLine([place("town", *p) for p in ((0, 0), (200, 0), (200, -100))])
-
-
-def test_ride_logic():
-    from conftest import place
-
-    at = lambda x, y: place("town", x, y)
-    r = line()
-    assert r.length == pytest.approx(300, abs=1)
-    assert r.snap(at(120, 30))["off"] == pytest.approx(30, abs=0.5) and r.snap(at(120, 30))["along"] == pytest.approx(120, abs=0.5)
-    assert r.snap(at(205, -40))["along"] == pytest.approx(240, abs=0.5) and r.snap(at(205, -40))["bearing"] == pytest.approx(180, abs=1)
-    assert r.snap(at(150, -50), 210)["along"] > 200
-    corner, end = at(200, 0), at(200, -100)
-    steps = [{"maneuver": "depart"}, {"maneuver": "right", "turn_lon": corner[0], "turn_lat": corner[1]}, {"maneuver": "arrive", "turn_lon": end[0], "turn_lat": end[1]}]
-    assert [round(p) for p in ride.maneuver_positions(r, steps)] == [0, 200, 300]
-    nxt = [ride.next_maneuver([0, 200, 300], a, c) for a, c in ((100, 1), (195, 1), (210, 1), (150, 2))]
-    assert [(i, round(d)) for i, d in nxt] == [(1, 100), (1, 5), (2, 90), (2, 150)]
-    assert [ride.off_route_count(*a) for a in ((0, 60, 5), (2, 60, 5), (2, 10, 5), (2, 60, 200), (2, 300, 200))] == [1, 3, 0, 2, 3]
-    assert [ride.should_reroute(*a) for a in ((3, None, 0), (1, 0, 4), (1, 0, 5), (0, 0, 9))] == [True, False, True, False]
-    assert [ride.prompt_level(*a) for a in ((400, 0), (140, 0), (140, 1), (20, 1), (20, 0), (20, 2))] == [0, 1, 0, 2, 2, 0]
-    assert [ride.pick_heading(5, 90, 10), ride.pick_heading(0.5, 90, 10), ride.pick_heading(5, math.nan, None)] == [90, 10, None]
-    assert [ride.should_rotate(*a) for a in ((0, 3, 1), (0, 30, 0.1), (350, 20, 1))] == [False, False, True]
-    legs = [{"distance_m": 200, "duration_s": 40}, {"distance_m": 100, "duration_s": 60}, {"distance_m": 0, "duration_s": 0}]
-    assert [ride.seconds_to_go(legs, a) for a in (0, 100, 250, 300)] == [100, 80, 30, 0]
-    assert ride.prompt_text("Turn right onto Cycle Path.", 1, 152.4) == "In 500 feet, turn right onto Cycle Path."
-
-
-def test_ride_stream_replays_a_track(spark, tmp_path):
-    from conftest import place
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ride.STORE)
-    t0 = 1_700_000_000
-    pts = [(0, 0, 0, 0), (2, 60, 2, 1), (4, 180, 1, 2), (6, 60, 90, 3), (8, 60, 90, 4), (10, 60, 90, 5), (12, 199, -95, 6)]
-    fixes = spark.createDataFrame([("r1", n, t0 + s, *place("town", x, y), 5.0, 3.0, None, None) for s, x, y, n in pts] + [("r2", 0, t0 + 1, *place("town", 0, 80), 5.0, 3.0, None, None)],
-                                  "rider string, seq bigint, t bigint, lon double, lat double, accuracy double, speed double, heading double, compass double")
-    fixes.selectExpr("rider", "seq", "timestamp_seconds(t) as ts", "lon", "lat", "accuracy", "speed", "heading", "compass").coalesce(1).write.parquet(str(tmp_path / "fixes"))
-    corner = place("town", 200, 0)
-    route = (1, [place("town", *p) for p in ((0, 0), (200, 0), (200, -100))],
-             [("depart", "Head east on Main Street.", 200.0, 40.0, None, None), ("right", "Turn right onto Cycle Path.", 100.0, 20.0, *corner), ("arrive", "Arrive.", 0.0, 0.0, None, None)])
-    plans = spark.createDataFrame([("r1", t0 - 1, route), ("r2", t0 - 1, route), ("clock", t0 + 300, route)], f"rider string, t bigint, route {ride.ROUTE}")
-    plans.selectExpr("rider", "timestamp_seconds(t) as ts", "route").coalesce(1).write.parquet(str(tmp_path / "plans"))
-    read = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
-    job = ride.write_events(ride.follow_riders(read("plans"), read("fixes"), "5 seconds"), str(tmp_path / "out"), str(tmp_path / "offsets"), available_now=True)
-    job.awaitTermination()
-    rows = spark.read.schema(ride.EVENT_SCHEMA).parquet(str(tmp_path / "out")).orderBy("rider", "ts").collect()
-    r1 = [(r.event, r.text) for r in rows if r.rider == "r1"]
-    assert ("prompt", "In 450 feet, turn right onto Cycle Path.") in r1 and ("prompt", "Turn right onto Cycle Path.") in r1
-    assert [e for e, _ in r1].count("reroute") == 1 and r1[-1][0] == "arrived"
-    r2 = [(r.event, r.ts.timestamp()) for r in rows if r.rider == "r2"]
-    assert r2[0][0] == "progress" and r2[-1][0] == "reroute" and len(r2) == 2  # no further fix: the timer fired
