@@ -47,10 +47,13 @@ def uuid(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(record string): a WARC record for every page, fresh headers included, without its closing line ends."""
+def records(pages: DataFrame, files: int) -> DataFrame:
+    """(record string): a WARC record for every page, fresh headers included, without its closing line ends.
+
+    The pages are dealt to the files once, by page_id, and the revisits come to them there.
+    """
     html = F.coalesce("html", F.lit(""))
-    at = pages.select("page_id", "url", html.alias("html")).join(revisits(pages), "page_id", "left")
+    at = pages.select("page_id", "url", html.alias("html")).repartition(files, "page_id").join(revisits(pages).repartition(files, "page_id").hint("shuffle_hash"), "page_id", "left")
     again = F.col("refers_to").isNotNull()
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", ""), F.lit(""))
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))  # noqa: E731  a null value: no such line
@@ -73,8 +76,7 @@ def write(pages: DataFrame, folder: str) -> None:
     stands in the table twice is two records alike. An empty table writes archives without
     records. Files hold a few thousand records each.
     """
-    rows = records(pages)
-    rows.repartition(shares(pages, FILE_ROWS)).write.option("lineSep", END * 2).option("compression", "gzip").text(folder)
+    records(pages, shares(pages, FILE_ROWS)).write.option("lineSep", END * 2).option("compression", "gzip").text(folder)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
