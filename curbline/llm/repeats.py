@@ -375,19 +375,20 @@ def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = Fal
     texts = rows.repartition(n, "key")
     digest = rows.where(F.octet_length("directions") >= DEPTH).select("key", F.sha2(F.col("directions").cast("binary"), 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    copies = digest.join(first, "digest").where("key > first").select("key", F.lit(True).alias("whole")).distinct()
+    # whatever meets the texts is dealt as they are, or Spark would deal the texts anew
+    copies = digest.join(first, "digest").where("key > first").select("key", F.lit(True).alias("whole")).repartition(n, "key").distinct()
     alone = texts.join(copies.hint("shuffle_hash"), "key", "left").where("whole is null").select("key", "directions")
 
     marks = per_batch(alone, lambda b: marks_of(b, bits), "bucket int, blob binary")
     marks = marks.repartition(max(n, 1 << bits), "bucket").sortWithinPartitions("bucket")
     shared = marks.mapInArrow(lambda it: held_by_several(it, hot), "key long, marks binary")
-    shared = shared.groupBy("key").agg(F.collect_list("marks").alias("marks"))
+    shared = shared.repartition(n, "key").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     touched = texts.join(shared.hint("shuffle_hash"), "key")
     found = per_batch(touched, lambda b: stretches_of(b, bits), "bucket int, blob binary, key long, first long, count long")
     place = F.coalesce("bucket", F.xxhash64("key", "first"))
     found = found.repartition(max(n, 1 << bits), place).sortWithinPartitions("bucket")
     gone = found.mapInArrow(removed_runs, "key long, first long, count long")
-    gone = gone.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    gone = gone.repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     out = texts.join(copies.hint("shuffle_hash"), "key", "left").join(gone.hint("shuffle_hash"), "key", "left")
     out = out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("route_id"), "directions", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("runs", F.array().cast("array<struct<first:bigint,count:bigint>>")).alias("runs"))
     return per_batch(out, lambda b: cut_out(b, whole_characters), "route_id long, directions string, kept binary, spans array<struct<start:bigint,end:bigint>>")
