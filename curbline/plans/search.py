@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import params
-from ..operators import places, search
+from ..operators import places, requests, search
 from ..session import Workspace, table
 from . import derive
 from . import sqltext as q
@@ -51,6 +51,33 @@ def geocode_search(spark, sf):
     return found.withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6))
 
 
+REFS = """SELECT query_id AS ref_id, CASE query_id%5 WHEN 0 THEN 'poi-'||(query_id%150) WHEN 1 THEN '' END AS station_id,
+  CASE WHEN query_id%5 IN (0,2,3) THEN query END AS query,
+  CASE WHEN query_id%5 IN (1,3) THEN -1.2245e2+(query_id%100)*1e-4 END AS lon, CASE WHEN query_id%5=1 THEN 3.775e1 END AS lat,
+  CASE WHEN query_id%2=0 THEN 'Spot '||query_id END AS label"""
+
+
+@query("resolved_requests", f"""WITH {ASKED}, {_address_sql(1)}, refs AS ({REFS} FROM asked1),
+n AS (SELECT count(*) AS n FROM part),
+poi AS (SELECT 'poi-'||s_suppkey AS id, s_suppkey%4 AS kind, CASE WHEN s_suppkey%5=0 THEN NULL ELSE s_name END AS name,
+  -1.2253e2+(s_suppkey*7919%160000)/1e6 AS lon, 3.7705e1+(s_suppkey*104729%(n*9))/1e6 AS lat FROM supplier, n WHERE s_suppkey%4 IN (0,1)),
+hit AS (SELECT query_id, text, lon, lat FROM addr_top WHERE rank=1)
+SELECT r.ref_id,
+  CASE WHEN coalesce(r.station_id,'')<>'' THEN CASE WHEN p.id IS NULL THEN 'unknown_station' END WHEN coalesce(r.query,'')<>'' THEN CASE WHEN h.query_id IS NULL THEN 'address_not_found' END
+    WHEN r.lon IS NULL OR r.lat IS NULL THEN 'bad_request' END AS problem,
+  round(CASE WHEN coalesce(r.station_id,'')<>'' THEN p.lon WHEN coalesce(r.query,'')<>'' THEN h.lon WHEN r.lat IS NOT NULL THEN r.lon END,6) AS point_lon,
+  round(CASE WHEN coalesce(r.station_id,'')<>'' THEN p.lat WHEN coalesce(r.query,'')<>'' THEN h.lat WHEN r.lon IS NOT NULL THEN r.lat END,6) AS point_lat,
+  CASE WHEN coalesce(r.station_id,'')<>'' THEN CASE WHEN p.id IS NOT NULL THEN coalesce(p.name, CASE p.kind WHEN 0 THEN 'charging station' ELSE 'BikeLink locker' END) END
+    WHEN coalesce(r.query,'')<>'' THEN h.text WHEN r.lon IS NOT NULL AND r.lat IS NOT NULL THEN coalesce(r.label,'map location') END AS point_label
+FROM refs r LEFT JOIN poi p ON p.id=r.station_id LEFT JOIN hit h ON h.query_id=r.ref_id""")
+def resolved_requests(spark, sf):
+    """A reference per customer: a station or locker, an address, a point, or too little."""
+    refs = spark.sql(REFS + " FROM {asked}", asked=address_queries(spark, sf))
+    pois = derive.pois(spark, sf)
+    found = requests.resolve(refs, pois.where("kind = 'charger'"), pois.where("kind = 'locker'"), derive.addresses(spark, sf), Workspace(spark, "requests"))
+    return found.select("ref_id", "problem", F.round("point_lon", 6).alias("point_lon"), F.round("point_lat", 6).alias("point_lat"), "point_label")
+
+
 @query("close_streets")
 def close_streets(spark, sf):
     """Misspelled streets and the streets closest to them."""
