@@ -16,10 +16,13 @@ from curbline.session import Workspace, table
 
 
 def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """docs with `text` from changed (doc_id, text), and n_chars after it."""
-    other = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = docs.select(*other).join(changed, "doc_id")
-    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    """docs with `text` from changed (doc_id, was, text), and n_chars after it. Rows meet by doc_id and the
+    text that they had, so that repeated ids and rows keep their own."""
+    mark = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    new = changed.select(F.col("doc_id").alias("new_id"), mark("was").alias("new_mark"), F.col("text").alias("new_text")).dropDuplicates(["new_id", "new_mark"])
+    met = docs.withColumn("old_mark", mark("text")).join(new, F.col("doc_id").eqNullSafe(F.col("new_id")) & (F.col("old_mark") == F.col("new_mark")))
+    out = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return met.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +35,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component."""
     found = simhash.near_copies(docs.select(F.col("doc_id").alias("place_id"), F.col("text").alias("name")))
-    first = found.where("place_id = component_id").select(F.col("place_id").alias("doc_id")).distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    first = found.where("place_id <=> component_id").select(F.col("place_id").alias("kept_id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes and more that a smaller doc_id has. A document of which nothing is left goes;
     a character of which a part is left goes too."""
     cut = repeats.drop_repeats(docs.select(F.col("doc_id").alias("route_id"), F.col("text").alias("directions")), whole_characters=True)
-    kept = cut.where((F.octet_length("kept") > 0) | (F.size("spans") == 0)).select(F.col("route_id").alias("doc_id"), F.col("kept").cast("string").alias("text"))
+    kept = cut.where((F.octet_length("kept") > 0) | (F.size("spans") == 0)).select(F.col("route_id").alias("doc_id"), F.col("directions").alias("was"), F.col("kept").cast("string").alias("text"))
     return with_text(docs, kept)
 
 
