@@ -32,6 +32,7 @@ STEP = 4_000_000  # bytes of text at once
 BUCKET_BYTES = 14_000_000  # of all texts for each bucket, about
 HOT = 4_096  # routes that hold a mark, from which it is filed by whole strings
 ROUTE_ROWS = 5_000
+SLICES = 4
 LOW = np.uint64((1 << 48) - 2)  # bits of a mark beside its bucket; the last one says hot
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -245,22 +246,29 @@ def stretches_of(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
 
 def equal_strings(data: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Radix passes over the strings of DEPTH bytes that begin at `at`: (string, group) of those that a string of
-    another key equals. After each pass, groups of one key are left out."""
+    another key equals. After each pass, groups of one key are left out. The strings are taken in SLICES parts by
+    their first digit, so that the sorts stay small."""
     digit = words(data, ">u8")
-    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for p in PASSES:
-        d = digit[at[order] + p].astype(np.uint64)
-        by = np.lexsort((d, group))
-        order, group, d = order[by], group[by], d[by]
-        head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (d[1:] != d[:-1])))
-        size = np.diff(np.append(head, len(order)))
-        k = key[order]
-        several = np.minimum.reduceat(k, head) != np.maximum.reduceat(k, head)
-        keep = np.repeat(several, size)
-        order, group = order[keep], np.repeat(np.arange(int(several.sum())), size[several])
-        if not len(order):
-            break
-    return order, group
+    part = (mixed(digit[at].astype(np.uint64)) % np.uint64(SLICES)).astype(np.int8)
+    orders, groups, base = [], [], 0
+    for k in range(SLICES):
+        order = np.flatnonzero(part == k)
+        group = np.zeros(len(order), np.int64)
+        for p in PASSES:
+            if not len(order):
+                break
+            d = digit[at[order] + p].astype(np.uint64)
+            by = np.lexsort((d, group))
+            order, group, d = order[by], group[by], d[by]
+            head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (d[1:] != d[:-1])))
+            size = np.diff(np.append(head, len(order)))
+            k_ = key[order]
+            several = np.minimum.reduceat(k_, head) != np.maximum.reduceat(k_, head)
+            order, group = order[np.repeat(several, size)], np.repeat(np.arange(int(several.sum())), size[several])
+        orders.append(order)
+        groups.append(group + base)
+        base += int(group[-1]) + 1 if len(group) else 0
+    return np.concatenate(orders), np.concatenate(groups)
 
 
 def removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
