@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import geo, policy
 from ..operators import bikeways, components, elevation, roads
-from ..session import Workspace
+from ..session import Workspace, table
 from . import compiled, derive
 from . import sqltext as q
 from .catalog import query
@@ -210,6 +210,24 @@ def elevation_sample(spark, sf):
     return elevation.sample(points, pixels, "row_id", derive.DEM_ZOOM, ox, oy).select("row_id", F.round("elev", 3).alias("elev"))
 
 
+@query("reachable_pairs", f"""{WITH}{q.GRAPH},
+hops AS (SELECT DISTINCT from_node AS u, to_node AS v FROM edges),
+fwd AS (SELECT node_id AS n, node_id AS r FROM nodes UNION SELECT f.n, h.v FROM fwd f JOIN hops h ON h.u=f.r),
+asked AS (SELECT o_orderkey AS pair_id, 31*o_orderkey%{q.N} AS a, 17*o_custkey%{q.N} AS b FROM orders)
+SELECT o.pair_id, f.n IS NOT NULL AS reachable FROM asked o LEFT JOIN fwd f ON f.n=o.a AND f.r=o.b""")
+def reachable_pairs(spark, sf):
+    """Whether any way leads from one junction to another, for a pair per order."""
+    ws = Workspace(spark, "reachable")
+    asked = table(spark, sf, "orders").withColumn("n", derive.n_nodes(spark, sf)).selectExpr("o_orderkey as pair_id", "31 * o_orderkey % n as a", "17 * o_custkey % n as b")
+    comp = compiled.strong(spark, sf).where("who = 'any'")
+    of = lambda node, name: comp.select(F.col("node").alias(node), F.col("comp").alias(name))
+    asked = ws.write(asked.join(of("a", "src_comp"), "a").join(of("b", "dst_comp"), "b"), "asked")
+    arcs = compiled.edges(spark, sf).select("from_node", "to_node").distinct().join(of("from_node", "src_comp"), "from_node").join(of("to_node", "dst_comp"), "to_node")
+    dag = ws.write(arcs.where("src_comp <> dst_comp").select("src_comp", "dst_comp").distinct(), "dag")
+    ways = components.reachable_pairs(asked, dag, ws).withColumn("reachable", F.lit(True))
+    return asked.join(ways, ["src_comp", "dst_comp"], "left").select("pair_id", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+
+
 @query("strong_components", f"""{WITH}{q.GRAPH},
 pairs AS (SELECT DISTINCT from_node AS u, to_node AS v FROM edges),
 fwd AS (SELECT node_id AS n, node_id AS r FROM nodes UNION SELECT f.n, p.v FROM fwd f JOIN pairs p ON p.u=f.r),
