@@ -22,6 +22,9 @@ LOCAL_SETTINGS = {
 }
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def local_session(name: str = "curbline", cores: int | str = "*", shared: str | None = None) -> SparkSession:
     """A session for tests and the bench, with its folder for written tables. Jobs on a cluster bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -39,9 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="curbline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:  # the setting itself cannot be changed in a running session
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="curbline-")
+    return _OWN_FOLDERS[app]
 
 
 def ship() -> None:
