@@ -18,10 +18,12 @@ from curbline.session import Workspace, table
 def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """docs with `text` from changed (doc_id, was, text), and n_chars after it. Rows meet by doc_id and the
     text that they had, so that repeated ids and rows keep their own."""
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)).cast("long"))
     mark = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
-    new = changed.select(F.col("doc_id").alias("new_id"), mark("was").alias("new_mark"), F.col("text").alias("new_text")).dropDuplicates(["new_id", "new_mark"])
-    met = docs.withColumn("old_mark", mark("text")).join(new, F.col("doc_id").eqNullSafe(F.col("new_id")) & (F.col("old_mark") == F.col("new_mark")))
-    out = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    # one exchange serves the duplicates and the join: the keys are the same, and not null
+    new = changed.select(key("doc_id").alias("_new_id"), mark("was").alias("_new_mark"), F.col("text").alias("_new_text")).dropDuplicates(["_new_id", "_new_mark"])
+    met = docs.withColumns({"_id": key("doc_id"), "_mark": mark("text")}).join(new, (F.col("_id") == F.col("_new_id")) & (F.col("_mark") == F.col("_new_mark")))
+    out = {"text": F.col("_new_text"), "n_chars": F.length("_new_text").cast("long")}
     return met.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
 
 

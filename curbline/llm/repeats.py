@@ -28,7 +28,7 @@ from .common import per_batch, runs, shares, steps, utf8
 DEPTH = 50
 GRAM = 24
 PASSES = (0, 8, 16, 24, 32, 40, 42)  # where the digits of the passes begin; the last two overlap
-STEP = 4_000_000  # bytes of text at once
+STEP = 2_000_000  # bytes of text at once
 BUCKET_BYTES = 14_000_000  # of all texts for each bucket, about
 HOT = 4_096  # routes that hold a mark, from which it is filed by whole strings
 ROUTE_ROWS = 5_000
