@@ -24,15 +24,23 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 # Efficiency test: runs of key characters, at least so long, with fewer
 # characters a token than this. Prose, compound words and identifiers made of
-# words have over 2; random letters and digits about 1.5.
+# words have over 2; random letters and digits about 1.5. A run may glue names
+# and paths to a value, so its parts between signs are tested too.
 RUN = 20
 RATIO = 2.0
+PART = re.compile(r"[0-9A-Za-z]+")
+STRONG = 6  # letters and digits of a part, from which its ratio alone says whether it is readable
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[-_T]?[0-9-]*Z?"
+UUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 KNOWN = (  # digests, and identifiers that are not secret
-    re.compile(r"[0-9a-f]+|[0-9A-F]+|[0-9]+"),
-    re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
+    re.compile(r"[0-9a-f]+|[0-9A-F]+|[0-9+/_=-]+"),
+    re.compile(UUID),
     re.compile(r"(?:md5|sha1|sha256|sha384|sha512)[-_=][0-9A-Za-z+/=]+"),
-    re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[-_T]?[0-9-]*Z?"),
+    re.compile(DATE),
 )
+# The same within a run; a digest is no longer there than its hex digits are.
+DIGEST = "|".join(f"{name}[-_=][0-9A-Za-z+/=]{{1,{n}}}" for name, n in (("md5", 32), ("sha1", 40), ("sha256", 64), ("sha384", 96), ("sha512", 128)))
+INNER = re.compile(f"(?<![0-9A-Za-z])(?:{DIGEST}|(?:{UUID}|{DATE})(?![0-9A-Za-z]))")
 
 SECRET = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -45,6 +53,7 @@ def members(chars: str) -> np.ndarray:
 
 LOWER, UPPER, NUMBER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 HEX, KEY = members(NUMBER + "abcdef"), members(LOWER + UPPER + NUMBER + "+/_=-")
+ONE = members("\1")
 
 
 def stretches(data: np.ndarray, table: np.ndarray, least: int) -> tuple[list[int], list[int]]:
@@ -65,24 +74,62 @@ def tokens(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def dense(text: str, encoding) -> bool:
+    return len(text) < RATIO * len(encoding.encode_ordinary(text))
+
+
+def known(text: str) -> bool:
+    return any(p.fullmatch(text) for p in KNOWN)
+
+
+def random_parts(text: str, encoding) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run of key characters: the run, or else groups of its parts.
+
+    The parts lie between signs. A readable part of STRONG characters or more and an
+    identifier end a group; shorter parts say nothing by themselves, as the signs
+    also stand within a value. A group begins and ends with an unreadable part, and parts of
+    STRONG characters or more are half of it at least.
+    """
+    if known(text):
+        return []
+    if dense(text, encoding) and not INNER.search(text):
+        return [(0, len(text))]
+    held = np.zeros(len(text), bool)
+    for m in INNER.finditer(text):
+        held[m.start() : m.end()] = True
+    groups: list[list[tuple[int, int, bool]]] = [[]]
+    for m in PART.finditer(text):
+        a, b = m.span()
+        odd, long = dense(m[0], encoding), b - a >= STRONG
+        if held[a] or long and (not odd or known(m[0])):
+            groups.append([])
+        elif odd or groups[-1]:
+            groups[-1].append((a, b, odd))
+    out = []
+    for group in groups:
+        while group and not group[-1][2]:
+            group.pop()
+        if not group:
+            continue
+        a, b = group[0][0], group[-1][1]
+        strong = sum(y - x for x, y, _ in group if y - x >= STRONG)
+        if b - a >= RUN and 2 * strong >= b - a and not known(text[a:b]) and dense(text[a:b], encoding):
+            out.append((a, len(text) if not text[b:].strip("=") else b))
+    return out
+
+
 def spans(data: bytes, encoding) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, sorted; data may be texts joined by line feeds."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(data.lower()) if m.end(1) - m.start(1) >= LEAST["assign"]]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(data) if m.end() - m.start() >= LEAST["access"]]
     view = np.frombuffer(data, np.uint8)
     out += [(a, 2, b) for a, b in zip(*stretches(view, HEX, LEAST["hex"]))]
-    out.sort()
-    begins = np.array([x[0] for x in out], np.int64)
-    ends = np.maximum.accumulate(np.array([x[2] for x in out], np.int64)) if out else begins
+    open_ = KEY[view]  # key characters that no fixed form has
+    for a, _, b in out:
+        open_[a:b] = False
     more = []
-    for a, b in zip(*stretches(view, KEY, RUN)):
-        k = int(np.searchsorted(begins, b))
-        if k and ends[k - 1] > a:
-            continue  # a fixed form has it
-        text = data[a:b].decode()
-        mixed = any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
-        if mixed and not any(p.fullmatch(text) for p in KNOWN) and len(text) < RATIO * len(encoding.encode_ordinary(text)):
-            more.append((a, 3, b))
+    for a, b in zip(*stretches(open_.view(np.uint8), ONE, RUN)):
+        more += [(a + x, 3, a + y) for x, y in random_parts(data[a:b].decode(), encoding)]
     return sorted(out + more)
 
 
@@ -93,7 +140,8 @@ def find(pages: DataFrame, path: str) -> DataFrame:
     Fixed kinds, leftmost and not overlapping within a kind: `assign` (a name
     such as password or api_key, a sign, a value of 8 characters), `access` (a
     cloud access key), `hex` (32 digits or more). The method adds `random`: a run
-    of key characters without a fixed form that the vocabulary at `path` splits
+    of key characters outside the fixed forms, or parts of it between signs, that the
+    vocabulary at `path` splits
     into many tokens, unless it is a digest, a UUID, a number or a date. Spans are
     sorted by start, then kind. A null or empty page has none; equal pages have
     the same. Whole texts are searched, row by row: no shuffle, no hot key.
