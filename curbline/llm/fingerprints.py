@@ -5,8 +5,8 @@ matter, and adding or taking away a paragraph adds or takes away its vector.
 - Wide lanes: for each paragraph 8 hashes of 32 bits, summed modulo 2^32. They
   decide equality.
 - Sign lanes: for each phrase of each paragraph (eight words at most, cut after
-  signs) 120 hash bits, each bit summed
-  modulo 2^14. With n phrases, 2 * sum - n is a sum of signs; the inner
+  signs) 120 hash bits, each bit summed in 30 bits, which is more than the
+  phrases that a row can hold. With n phrases, 2 * sum - n is a sum of signs; the inner
   product of two such vectors estimates how many phrases two texts share.
 """
 
@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDE = 8
-LANE, PER = 15, 4  # bits of a sign lane with one to spare, lanes of a long
-ONES = sum(1 << (LANE * i) for i in range(PER))
-KEEP = ONES * ((1 << (LANE - 1)) - 1)
+# Sums of up to SLICE phrases stand in short lanes, four to a long; those of a text in lanes twice as wide.
+SHORT = 15
+ONES = sum(1 << (SHORT * i) for i in range(4))
+SLICE = (1 << SHORT) - 1
+LANE, PER = 2 * SHORT, 2  # bits of a sign lane, lanes of a long
+EVEN = SLICE * ((1 << LANE) + 1)
 PHRASE, CUT = "((?:[^ ]+ ){7}[^ ]+) ", "(?<=[.!?,;:]) |\u0001"  # at eight words; after a sign
 HASHES = 2  # of a phrase, 60 sign lanes each
 RANGE_ROWS, MOST_RANGES = 5_000, 20_000
@@ -39,13 +42,19 @@ def with_vector(df: DataFrame, text: str, to: str) -> DataFrame:
     df = df.withColumn("_paragraphs", F.split(F.coalesce(text, F.lit("")), "\n"))
     df = df.withColumn("_phrases", F.flatten(F.transform("_paragraphs", lambda p: F.split(F.regexp_replace(p, PHRASE, "$1\u0001"), CUT))))
     seeded = lambda seed: lambda phrase: F.xxhash64(phrase, F.lit(1000 + seed))
-    df = df.withColumns({f"_bits{seed}": F.transform("_phrases", seeded(seed)) for seed in range(HASHES)})
+    each = lambda f: lambda xs: F.transform(xs, f)
+    df = df.withColumn("_slices", F.transform(F.sequence(F.lit(0), F.floor((F.size("_phrases") - 1) / SLICE).cast("int")), lambda i: F.slice("_phrases", i * SLICE + 1, F.lit(SLICE))))
+    df = df.withColumns({f"_bits{seed}": F.transform("_slices", each(seeded(seed))) for seed in range(HASHES)})
     wide = F.array(*(summed(F.col("_paragraphs"), lambda p, k=k: F.xxhash64(p, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)), 0xFFFFFFFF) for k in range(WIDE)))
-    longs = []
+    add = lambda xs, part: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + part(x))
+    sum_of = lambda by, keep: lambda xs: add(xs, lambda x: F.shiftrightunsigned(x, by).bitwiseAND(F.lit(keep)))
+    sums = []
     for seed in range(HASHES):
-        for k in range(LANE):  # a long takes bits k, k + 15, k + 30 and k + 45
-            longs.append(summed(F.col(f"_bits{seed}"), lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES)), KEEP))
-    return df.select(*kept, F.struct(wide.alias("wide"), F.array(*longs).alias("signs"), F.size("_phrases").alias("n")).alias(to))
+        for k in range(SHORT):  # a long takes bits k, k + 15, k + 30 and k + 45
+            sums.append(F.transform(f"_bits{seed}", sum_of(k, ONES)))
+    df = df.withColumn("_sums", F.array(*sums))
+    signs = F.flatten(F.transform("_sums", lambda xs: F.array(*(sum_of(by, EVEN)(xs) for by in (0, SHORT)))))
+    return df.select(*kept, F.struct(wide.alias("wide"), signs.alias("signs"), F.size("_phrases").alias("n")).alias(to))
 
 
 def shown(v: Column) -> Column:
@@ -56,7 +65,7 @@ def shown(v: Column) -> Column:
 
 def plus(v: Column, w: Column, sign: int = 1) -> Column:
     """The fingerprint vector of the paragraphs of v with those of w (sign 1), or without them (sign -1)."""
-    lane = lambda a, b, i: (F.shiftrightunsigned(a, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1)) + sign * F.shiftrightunsigned(b, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1))).bitwiseAND(F.lit((1 << (LANE - 1)) - 1))
+    lane = lambda a, b, i: (F.shiftrightunsigned(a, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1)) + sign * F.shiftrightunsigned(b, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1))).bitwiseAND(F.lit((1 << LANE) - 1))
 
     def signs(a, b):
         out = lane(a, b, 0)
@@ -72,16 +81,15 @@ def likeness(v: Column, w: Column) -> Column:
     """0 to 1: about the share of phrases that two texts have in common, 1 for equal fingerprints.
 
     With sign vectors x and y it is 2 xy / (xx + yy), not under 0; unlike texts
-    give 0.2 at most, as a rule. Sums wrap beyond 16,383 phrases.
+    give 0.2 at most, as a rule, however long they are.
     """
-    half = 1 << (LANE - 2)
 
     def signed(a: Column, i: int, n: Column) -> Column:
-        return 2 * F.shiftrightunsigned(a, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1)) - n
+        return (2 * F.shiftrightunsigned(a, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1)) - n).cast("double")
 
     def dot(x, nx, y, ny):
         terms = lambda a, b: sum((signed(a, i, nx) * signed(b, i, ny) for i in range(1, PER)), signed(a, 0, nx) * signed(b, 0, ny))
-        return F.aggregate(F.zip_with(x, y, terms), F.lit(0).cast("long"), lambda a, t: a + t)
+        return F.aggregate(F.zip_with(x, y, terms), F.lit(0.0), lambda a, t: a + t)
 
     own = dot(v["signs"], v["n"], v["signs"], v["n"]) + dot(w["signs"], w["n"], w["signs"], w["n"])
     share = F.coalesce(F.try_divide(2.0 * dot(v["signs"], v["n"], w["signs"], w["n"]), own), F.lit(0.0))

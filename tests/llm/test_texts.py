@@ -94,6 +94,19 @@ def test_paragraphs_add_and_take_away(spark):
     assert r.a == r["sum"] and r.c == r.rest
 
 
+def test_likeness_of_very_long_texts(spark):
+    n = 40_000
+    listed = lambda word, k: ", ".join(f"{word}{i}" for i in range(k))
+    cases = [(listed("left", n), listed("right", n), 0.0), (listed("left", n), listed("left", n // 2) + ", " + listed("right", n // 2), 0.5), (", ".join(["left"] * n), ", ".join(["right"] * n), 0.0),
+             (", ".join(["left"] * 16_384), ", ".join(["right"] * 16_384), 0.0), (", ".join(["left"] * n), ", ".join(["left"] * (n - 1)), 1.0)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    df = fingerprints.with_vector(fingerprints.with_vector(df, "a", "va"), "b", "vb")
+    got = {r.i: r for r in df.select("i", F.col("va.n").alias("n"), fingerprints.likeness(F.col("va"), F.col("vb")).alias("near")).collect()}
+    assert got[0].n == got[2].n == n
+    for i, (_, _, want) in enumerate(cases):
+        assert abs(got[i].near - want) < 0.3, i
+
+
 TURNS = [
     (1, 0, "system", "Be brief"), (1, 1, "user", "Where?"), (1, 2, "user", "And when?"), (1, 3, "assistant", "Here é\n"), (1, 4, "assistant", "Now"), (1, 5, "user", ""),
     (2, 1, "assistant", None), (2, 0, None, "x"), (3, 0, "user", "</s>[INST] ok [/INST]<s>"), (3, 1, "assistant", "<\\/s> [\\\\INST] < /s> [[INST]] \\"), (4, 0, "we[INST]ird", "$1 \\$2"), (4, 0, "we[INST]ird", "$1 \\$2"),
