@@ -179,15 +179,17 @@ def held_by_several(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.
         yield from texts_with(key[order], mark[order])
 
 
-STRETCHES = ("<i8", "<u4", "<u4", "<u1")
+STRETCHES = ("<i8", "<u4", "<u4", "<i8", "<u1")
 
 
 def stretches_of(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, blob, key, first, count): the stretches under marks that several texts hold. Of stretches of a step that are
-    equal, the one of the least key goes on; the others are removed, and are told as (key, first, count)."""
+    """(bucket, blob, key, twin, first, count): the stretches under marks that several texts hold. Of stretches of a step that are
+    equal, the one of the least key goes on; the others are removed, and are told as (key, twin, first, count)."""
+    names = ["bucket", "blob", "key", "twin", "first", "count"]
     for part in steps(batch, "directions", STEP):
         data, at = utf8(part.column("directions"))
         ids = part.column("key").to_numpy()
+        twins = part.column("twin").to_numpy()
         text, start, many, mark, bucket = stretches(data, at, bits)
         lists_ = [np.concatenate([np.frombuffer(b, "<u8") for b in x]) if x else np.zeros(0, np.uint64) for x in part.column("marks").to_pylist()]
         own = np.repeat(np.arange(len(lists_)), [len(x) for x in lists_])
@@ -229,7 +231,7 @@ def stretches_of(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
                 seen.add(c)
         gone = np.flatnonzero(~stays)
         if len(gone):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int32()), pa.nulls(len(gone), pa.binary()), pa.array(ids[text[gone]].astype(np.int64)), pa.array(first[gone].astype(np.int64)), pa.array(many[gone].astype(np.int64))], ["bucket", "blob", "key", "first", "count"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int32()), pa.nulls(len(gone), pa.binary()), *(pa.array(x.astype(np.int64)) for x in (ids[text[gone]], twins[text[gone]], first[gone], many[gone]))], names)
         stay = np.flatnonzero(stays)
         stay = stay[np.argsort(bucket[stay], kind="stable")]
         head = grouped(bucket[stay])
@@ -239,9 +241,10 @@ def stretches_of(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
             joined = np.frombuffer(b"".join([content[j] for j in rows.tolist()]), np.uint8)
             squeezed = np.frombuffer(pa.compress(joined, "zstd").to_pybytes(), np.uint8)
             out_bucket.append(int(bucket[rows[0]]))
-            blobs.append(packed(ids[text[rows]].astype("<i8"), first[rows].astype("<u4"), many[rows].astype("<u4"), squeezed))
+            twin = twins[text[rows]].astype("<i8")
+            blobs.append(packed(ids[text[rows]].astype("<i8"), first[rows].astype("<u4"), many[rows].astype("<u4"), twin if twin.any() else twin[:0], squeezed))
         n = len(blobs)
-        yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(3))], ["bucket", "blob", "key", "first", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4))], names)
 
 
 def equal_strings(data: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +275,8 @@ def equal_strings(data: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np
 
 
 def removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, first, count): runs of strings of a text that a text with a smaller key has too."""
-    names = ["key", "first", "count"]
+    """(key, twin, first, count): runs of strings of a text that a text with a smaller key has too."""
+    names = ["key", "twin", "first", "count"]
 
     def passed(batches):
         for batch in batches:
@@ -293,8 +296,8 @@ def removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while sorted_rows:
             yield sorted_rows.pop()
         parts = [unpacked_stretches(b) for b in blobs]
-        key, first, many = (np.concatenate(x) for x in zip(*(p[:3] for p in parts)))
-        data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+        key, first, many, twin = (np.concatenate(x) for x in zip(*(p[:4] for p in parts)))
+        data = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
         size = many + DEPTH - 1
         offset = np.cumsum(size) - size
         at, own = runs(offset, many), np.repeat(np.arange(len(many)), many)
@@ -311,16 +314,18 @@ def removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = first[s[edge]] + (at[late[edge]] - offset[s[edge]])
         count = np.diff(np.append(edge, len(late)))
         for i in range(0, len(edge), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000].astype(np.int64)) for x in (key[s[edge]], begin, count)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000].astype(np.int64)) for x in (key[s[edge]], twin[s[edge]], begin, count)], names)
     while sorted_rows:
         yield sorted_rows.pop()
 
 
-def unpacked_stretches(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    key, first, many, squeezed = unpacked(blob, *STRETCHES)
+def unpacked_stretches(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Key, first, strings and twin of each stretch, and their text. A blob whose twins are all 0 leaves them out."""
+    key, first, many, twin, squeezed = unpacked(blob, *STRETCHES)
+    twin = twin if len(twin) else np.zeros(len(key), np.int64)
     many = many.astype(np.int64)
     size = int((many + DEPTH - 1).sum())
-    return key, first.astype(np.int64), many, pa.decompress(squeezed.tobytes(), decompressed_size=size, codec="zstd", asbytes=True)
+    return key, first.astype(np.int64), many, twin, pa.decompress(squeezed.tobytes(), decompressed_size=size, codec="zstd", asbytes=True)
 
 
 def cut_out(batch: pa.RecordBatch, whole_characters: bool) -> Iterator[pa.RecordBatch]:
@@ -366,11 +371,11 @@ def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = Fal
     the input. kept (binary) is what remains; spans are the removed bytes as
     (start, end), maximal and in order. With whole_characters a character of
     which a byte goes is removed as a whole, so that kept is UTF-8. Texts under 50 bytes are kept. Rows with
-    the same route_id do not remove each other; a null route_id is the smallest.
+    the same route_id do not remove each other, and each is judged by its own directions; a null route_id is the smallest.
     No rows in, none out.
 
     Copies of whole texts are found by their digests, and only the first takes
-    part in the search. The texts are shuffled once, by route_id; marks,
+    part in the search. Where an id has unlike texts, what is found of each comes back by its hash too (twin, 0 elsewhere). The texts are shuffled once, by route_id; marks,
     stretches and runs travel as packed arrays. What several texts of one task
     share travels once.
     """
@@ -380,23 +385,27 @@ def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = Fal
     n = shares(routes, ROUTE_ROWS)
     key = F.coalesce(F.col("route_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("key")
     rows = routes.select(key, F.coalesce("directions", F.lit("")).alias("directions"))
-    texts = rows.repartition(n, "key")
-    digest = rows.where(F.octet_length("directions") >= DEPTH).select("key", F.sha2(F.col("directions").cast("binary"), 256).alias("digest"))
+    own = F.xxhash64("directions")
+    several = rows.select("key", own.alias("own")).groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("key", F.lit(True).alias("several")).repartition(n, "key")
+    texts = rows.repartition(n, "key").join(several.hint("shuffle_hash"), "key", "left").select("key", "directions", F.when(F.col("several"), own).otherwise(F.lit(0).cast("long")).alias("twin"))
+    digest = rows.where(F.octet_length("directions") >= DEPTH).select("key", own.alias("own"), F.sha2(F.col("directions").cast("binary"), 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
     # whatever meets the texts is dealt as they are, or Spark would deal the texts anew
-    copies = digest.join(first, "digest").where("key > first").select("key", F.lit(True).alias("whole")).repartition(n, "key").distinct()
-    alone = texts.join(copies.hint("shuffle_hash"), "key", "left").where("whole is null").select("key", "directions")
+    copies = digest.join(first, "digest").where("key > first").select("key", "own").repartition(n, "key").groupBy("key").agg(F.collect_set("own").alias("owns"))
+    whole = F.coalesce(F.array_contains("owns", own), F.lit(False))
+    alone = texts.join(copies.hint("shuffle_hash"), "key", "left").where(~whole).select("key", "directions")
 
     marks = per_batch(alone, lambda b: marks_of(b, bits), "bucket int, blob binary")
     marks = marks.repartition(max(n, 1 << bits), "bucket").sortWithinPartitions("bucket")
     shared = marks.mapInArrow(lambda it: held_by_several(it, hot), "key long, marks binary")
     shared = shared.repartition(n, "key").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     touched = texts.join(shared.hint("shuffle_hash"), "key")
-    found = per_batch(touched, lambda b: stretches_of(b, bits), "bucket int, blob binary, key long, first long, count long")
-    place = F.coalesce("bucket", F.xxhash64("key", "first"))
+    found = per_batch(touched, lambda b: stretches_of(b, bits), "bucket int, blob binary, key long, twin long, first long, count long")
+    place = F.coalesce("bucket", F.xxhash64("key", "twin", "first"))
     found = found.repartition(max(n, 1 << bits), place).sortWithinPartitions("bucket")
-    gone = found.mapInArrow(removed_runs, "key long, first long, count long")
-    gone = gone.repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    gone = found.mapInArrow(removed_runs, "key long, twin long, first long, count long")
+    gone = gone.repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("twin", "first", "count")).alias("runs"))
+    runs_ = F.transform(F.filter("runs", lambda r: r["twin"] == F.col("twin")), lambda r: F.struct(r["first"].alias("first"), r["count"].alias("count")))
     out = texts.join(copies.hint("shuffle_hash"), "key", "left").join(gone.hint("shuffle_hash"), "key", "left")
-    out = out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("route_id"), "directions", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("runs", F.array().cast("array<struct<first:bigint,count:bigint>>")).alias("runs"))
+    out = out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("route_id"), "directions", whole.alias("whole"), F.coalesce(runs_, F.array().cast("array<struct<first:bigint,count:bigint>>")).alias("runs"))
     return per_batch(out, lambda b: cut_out(b, whole_characters), "route_id long, directions string, kept binary, spans array<struct<start:bigint,end:bigint>>")

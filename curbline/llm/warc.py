@@ -31,14 +31,16 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload a page with a smaller page_id has.
+    """(page_id, digest, refers_to) of pages whose payload a page with a smaller page_id has.
+
+    The digest tells pages of one page_id apart.
 
     Only digests are shuffled. A digest that many pages share is one row for each
     task before the shuffle; the join back is between small rows.
     """
     heads = headers(pages).where((F.col("bytes") >= LEAST) & F.col("page_id").isNotNull())
     first = heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    return heads.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return heads.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def uuid(page_id: Column) -> Column:
@@ -50,17 +52,18 @@ def uuid(page_id: Column) -> Column:
 def records(pages: DataFrame, files: int) -> DataFrame:
     """(record string): a WARC record for every page, fresh headers included, without its closing line ends.
 
-    The pages are dealt to the files once, by page_id, and the revisits come to them there.
+    The pages are dealt to the files once, by page_id and digest, and the revisits come to them there.
     """
     html = F.coalesce("html", F.lit(""))
-    at = pages.select("page_id", "url", html.alias("html")).repartition(files, "page_id").join(revisits(pages).repartition(files, "page_id").hint("shuffle_hash"), "page_id", "left")
+    own = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    at = own.repartition(files, "page_id", "digest").join(revisits(pages).repartition(files, "page_id", "digest").hint("shuffle_hash"), ["page_id", "digest"], "left")
     again = F.col("refers_to").isNotNull()
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", ""), F.lit(""))
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))  # noqa: E731  a null value: no such line
     parts = [
         F.lit(VERSION + END), field("WARC-Type", F.when(again, "revisit").otherwise("response")),
         field("WARC-Record-ID", F.coalesce(uuid(F.col("page_id")), F.lit("<urn:uuid:00000000-0000-0000-0000-000000000000>"))), field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", url),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(F.col("html").cast("binary"), 256))), field("WARC-Feed-Page", F.col("page_id").cast("string")),
+        field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), field("WARC-Feed-Page", F.col("page_id").cast("string")),
         field("WARC-Refers-To", uuid(F.col("refers_to"))), field("WARC-Refers-To-Feed-Page", F.col("refers_to").cast("string")), field("WARC-Profile", F.when(again, PROFILE)),
         field("Content-Type", F.lit("text/html; charset=utf-8")), field("Content-Length", F.when(again, 0).otherwise(F.octet_length("html")).cast("string")), F.lit(END)]
     return at.select(F.concat(*parts, F.when(again, F.lit("")).otherwise(F.col("html"))).alias("record"))
@@ -73,7 +76,8 @@ def write(pages: DataFrame, folder: str) -> None:
     payloads of at least 100 bytes the one with the smallest page_id is the
     response and the others are revisits without payload; shorter ones and pages
     without an id are responses. Null html is an empty payload. A page that
-    stands in the table twice is two records alike. An empty table writes archives without
+    stands in the table twice is two records alike; unlike pages with one page_id
+    are judged each by its own payload. An empty table writes archives without
     records. Files hold a few thousand records each.
     """
     records(pages, shares(pages, FILE_ROWS)).write.option("lineSep", END * 2).option("compression", "gzip").text(folder)
@@ -130,7 +134,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def resolved(found: DataFrame) -> DataFrame:
     """Records with payload_bytes of revisits taken from the responses that they refer to. The payload column is left out."""
     heads = found.drop("payload")
-    first = heads.where("record_type = 'response' and payload_bytes >= 100").groupBy(F.col("page_id").alias("origin")).agg(F.min("payload_bytes").alias("origin_bytes"))
-    again = heads.where("record_type = 'revisit'").join(first, F.col("refers_to") == F.col("origin"), "left").drop("origin")
+    first = heads.where("record_type = 'response' and payload_bytes >= 100").groupBy(F.col("page_id").alias("origin"), F.col("payload_digest").alias("origin_digest")).agg(F.min("payload_bytes").alias("origin_bytes"))
+    again = heads.where("record_type = 'revisit'").join(first, (F.col("refers_to") == F.col("origin")) & (F.col("payload_digest") == F.col("origin_digest")), "left").drop("origin", "origin_digest")
     plain = heads.where("record_type <> 'revisit'").withColumn("origin_bytes", F.lit(None).cast("long"))
     return plain.unionByName(again).withColumn("payload_bytes", F.coalesce("payload_bytes", "origin_bytes")).drop("origin_bytes")

@@ -177,3 +177,18 @@ def test_archives(spark, tmp_path):
 def test_archives_without_pages(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.resolved(warc.read(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_unlike_texts_under_one_id(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    whole, passage = text(40), text(20)
+    rows = [(3, whole), (7, whole), (7, text(30)), (7, "short"), (4, text(9) + passage), (8, text(60) + passage), (8, text(10)), (8, "tiny"), (9, passage), (9, passage + text(5)), (None, text(12)), (None, text(13))]
+    got = sorted(((-1 if r.route_id is None else r.route_id), bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in repeats.drop_repeats(spark.createDataFrame(rows, "route_id long, directions string")).collect())
+    assert got == sorted(((-1 if d is None else d), k, s) for d, k, s in plain_cut(rows))
+
+    pages = [(i, "u", t) for i, t in rows] + [(3, "u", text(50))]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "twins"))
+    found = warc.read(spark, str(tmp_path / "twins"))
+    kinds = sorted((r.payload_digest, r.page_id or -1, r.record_type, r.payload_bytes) for r in warc.resolved(found).collect())
+    assert kinds == sorted((hashlib.sha256(t.encode()).hexdigest(), i or -1, "revisit" if i == 7 and t == whole else "response", len(t)) for i, _, t in pages)
