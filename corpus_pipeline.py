@@ -28,10 +28,12 @@ def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language the codes tell. Those without a letter, and ambiguous ones, go."""
+    """Keeps the documents that have a language. Those without a letter go; ambiguous ones stay, as clean short texts
+    are among them, and without any label all that have a letter."""
     model = languages.train(docs.select(F.col("text").alias("name"), "lang"))
     told = languages.predict(docs.withColumn("name", F.col("text")), model)
-    return told.where("not ambiguous").select(docs.columns)
+    has = F.col("lang_pred") != "und" if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return told.where(has).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,10 +63,15 @@ def features(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.nd
     code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     row = np.searchsorted(at, place, side="right") - 1
     sign = table[code]
-    # a space at each end of a text, and no two in turn
+    # a space at both ends of every text, and no two of a text in turn
     heads = np.searchsorted(row, np.arange(rows + 1))
-    sign, row = np.insert(sign, heads, SPACE), np.insert(row, heads, np.append(np.arange(rows), rows - 1))
-    keep = np.append(True, (sign[1:] != SPACE) | (sign[:-1] != SPACE)) if len(sign) else np.zeros(0, bool)
+    ends = np.concatenate([heads[:-1], heads[1:]])
+    whose = np.tile(np.arange(rows), 2)
+    order = np.lexsort((np.repeat([1, 0], rows), whose, ends))  # a text's opening space comes after the closing one of the text before
+    if (heads[1:] == heads[:-1]).any():  # texts without a sign have none of either
+        order = order[np.diff(heads)[whose[order]] > 0]
+    sign, row = np.insert(sign, ends[order], SPACE), np.insert(row, ends[order], whose[order])
+    keep = np.append(True, (sign[1:] != SPACE) | (sign[:-1] != SPACE) | (row[1:] != row[:-1])) if len(sign) else np.zeros(0, bool)
     sign, row = sign[keep].astype(np.uint64), row[keep]
     out_row, out = [], []
     for n in GRAMS:

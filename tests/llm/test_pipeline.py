@@ -113,3 +113,10 @@ def test_no_documents(spark, stages):
         docs = stage(spark, docs, DATA)
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
+
+
+def test_language_drops_nothing_but_what_has_no_letter(spark, stages):
+    before, after = ({r.doc_id for r in stages[n][1]} for n in ("documents", "language_id"))
+    assert before - after == {9001, 9002, 9003}
+    docs = stages["documents"][0].withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == after

@@ -47,6 +47,20 @@ def test_language_edges(spark):
     assert languages.predict(names.select("name"), None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_ngrams_do_not_depend_on_neighbours():
+    table = languages.letters()
+    texts = ["la gare", "the end.", "", "été!", "12 % 3", "", " x ", "y", "...", "the end."]
+
+    def grams(rows):
+        at = np.append(0, np.cumsum([len(t.encode()) for t in rows]))
+        row, feature = languages.features(np.frombuffer("".join(rows).encode(), np.uint8), at, table)
+        return [sorted(feature[row == i].tolist()) for i in range(len(rows))]
+
+    assert grams(texts) == [grams([t])[0] for t in texts]
+    assert grams(["the end."]) == grams(["the end"]) == grams([" the  end "])
+    assert len(grams(["ab"])[0]) == 2 + 3 + 2 and grams(["ab", "cd"])[0] == grams(["ab"])[0]
+
+
 def test_one_language_only(spark):
     model = languages.train(spark.createDataFrame([("hello there", "en")], "name string, lang string"))
     assert languages.predict(spark.createDataFrame([(1, "hello")], "place_id long, name string"), model).head().lang_pred == "en"
