@@ -33,6 +33,11 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def items(self) -> dict[int, int]:
+        """All of it as left << 20 | right -> rank."""
+        full = self.key != EMPTY
+        return dict(zip(self.key[full].tolist(), self.rank[full].tolist()))
+
     def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks, NONE for pairs that make no token."""
         keys = left << 20 | right
