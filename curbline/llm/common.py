@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import Workspace, ship
 
@@ -32,9 +34,17 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 
 def kept(key: str, build: Callable[[], object]):
-    """A value that a Python worker builds once and keeps between tasks."""
+    """A value that a Python worker builds once and keeps between tasks.
+
+    Workers live on from one operator to the next. What another operator left
+    (another word before the first - or : of the key) is dropped first, so that
+    a worker holds the tables of one.
+    """
     store = sys.modules.setdefault("_curbline_worker", types.ModuleType("_curbline_worker"))
     if not hasattr(store, key):
+        owner = lambda k: re.split("[-:]", k)[0]
+        for other in [k for k in vars(store) if not k.startswith("__") and owner(k) != owner(key)]:
+            delattr(store, other)
         setattr(store, key, build())
     return getattr(store, key)
 
@@ -84,6 +94,31 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def numbered(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
+    """df with whole numbers in `column` in the order of its values, and (number, value) to read them back; df as it is, and None, if it has such numbers.
+
+    The distinct values are sorted by ranges, so their numbers follow from the
+    partition and the place in it; they are written, which fixes them. Null stays null.
+    """
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return df, None
+    values = df.select(F.col(column).alias("_value")).where("_value is not null").distinct().orderBy("_value").withColumn("_number", F.monotonically_increasing_id())
+    names = Workspace(df.sparkSession, "ids").write(values.select("_number", "_value"), "names")
+    met = df.join(names, F.col(f"`{column}`") == F.col("_value"), "left")
+    return met.select(*(F.col("_number").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns)), names
+
+
+def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the values that `numbered` gave numbers to."""
+    if names is None:
+        return df
+    for column in columns:
+        order = df.columns
+        met = df.join(names.select(F.col("_number").alias("_n"), F.col("_value").alias("_v")), F.col(f"`{column}`") == F.col("_n"), "left")
+        df = met.select(*(F.col("_v").alias(c) if c == column else F.col(f"`{c}`") for c in order))
+    return df
+
+
 def shares(df: DataFrame, rows: int) -> int:
     """A partition count that gives each about `rows` rows, and at least the session's."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import named, numbered
+
 WIDE = 8
 # Sums of up to SLICE phrases stand in short lanes, four to a long; those of a text in lanes twice as wide.
 SHORT = 15
@@ -24,7 +26,7 @@ ONES = sum(1 << (SHORT * i) for i in range(4))
 SLICE = (1 << SHORT) - 1
 LANE, PER = 2 * SHORT, 2  # bits of a sign lane, lanes of a long
 EVEN = SLICE * ((1 << LANE) + 1)
-PHRASE, CUT = "((?:[^ ]+ ){7}[^ ]+) ", "(?<=[.!?,;:]) |\u0001"  # at eight words; after a sign
+CUT, WORDS = "(?<=[.!?,;:]) ", 8  # phrases end after a sign, and after so many words
 HASHES = 2  # of a phrase, 60 sign lanes each
 RANGE_ROWS, MOST_RANGES = 5_000, 20_000
 
@@ -33,6 +35,13 @@ def summed(hashes: Column, part, keep: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + part(h)).bitwiseAND(F.lit(keep)))
 
 
+def phrases(clause: Column) -> Column:
+    """The clause in parts of WORDS words. Split at spaces first: each step is linear, with spaces or without."""
+    words = F.split(clause, " ")
+    at = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / WORDS).cast("int"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i * WORDS + 1, F.lit(WORDS)), " "))
+
+
 def with_vector(df: DataFrame, text: str, to: str) -> DataFrame:
     """Adds `to`: struct(wide array<long>, signs array<long>, n int) of a text column; null is empty.
 
@@ -40,7 +49,7 @@ def with_vector(df: DataFrame, text: str, to: str) -> DataFrame:
     """
     kept = df.columns
     df = df.withColumn("_paragraphs", F.split(F.coalesce(text, F.lit("")), "\n"))
-    df = df.withColumn("_phrases", F.flatten(F.transform("_paragraphs", lambda p: F.split(F.regexp_replace(p, PHRASE, "$1\u0001"), CUT))))
+    df = df.withColumn("_phrases", F.flatten(F.flatten(F.transform("_paragraphs", lambda p: F.transform(F.split(p, CUT), phrases)))))
     seeded = lambda seed: lambda phrase: F.xxhash64(phrase, F.lit(1000 + seed))
     each = lambda f: lambda xs: F.transform(xs, f)
     df = df.withColumn("_slices", F.transform(F.sequence(F.lit(0), F.floor((F.size("_phrases") - 1) / SLICE).cast("int")), lambda i: F.slice("_phrases", i * SLICE + 1, F.lit(SLICE))))
@@ -97,10 +106,13 @@ def likeness(v: Column, w: Column) -> Column:
     return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
+def least_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ranges(ids: DataFrame) -> tuple[Column, dict[int, int]]:
     """An expression over `key` that numbers ranges of it, a few thousand rows each, and the first key of each range."""
-    least = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = min(MOST_RANGES, max(least, math.ceil(ids.count() / RANGE_ROWS)))
+    count = min(MOST_RANGES, max(least_partitions(ids), math.ceil(ids.count() / RANGE_ROWS)))
     cuts = ids.agg(F.percentile_approx("key", [i / count for i in range(1, count)] or [0.5], max(10_000, 4 * count)).alias("c")).head()["c"] or [0]
     cuts = sorted(set(cuts))
     group = math.isqrt(len(cuts))
@@ -127,7 +139,7 @@ def with_next(routes: DataFrame) -> DataFrame:
     before = F.create_map(*(F.lit(x) for k, r in enumerate(present) for x in (heads[r], present[k - 1])))
     rows = routes.withColumns({"range": number, "guest": F.lit(False)})
     guests = routes.where(F.col("key").isin(list(heads.values()))).withColumns({"range": before[F.col("key")], "guest": F.lit(True)})
-    rows = with_vector(rows.unionByName(guests), "directions", "v")
+    rows = with_vector(rows.unionByName(guests).repartition(max(len(present), least_partitions(routes)), "range"), "directions", "v")
     order = Window.partitionBy("range").orderBy("guest", "key", "directions")
     return rows.withColumns({"next_directions": F.lead("directions").over(order), "next_v": F.lead("v").over(order)}).where("not guest").drop("guest", "range", "key")
 
@@ -142,17 +154,19 @@ def edited(text: Column, follower: Column) -> Column:
 def compare(routes: DataFrame) -> DataFrame:
     """The fingerprint of every route's directions, of an edited form, and how alike they and the next route's are.
 
-    routes: route_id (long), directions (paragraphs of sentences, one a line);
+    routes: route_id (of any type with an order), directions (paragraphs of sentences, one a line);
     other columns are left out. Returns route_id, directions, edited, fingerprint,
     edited_fingerprint, near_edited, near_next. Null directions are empty. Equal
     directions have equal fingerprints, in whatever order their paragraphs
     stand. Equal ids follow each other by their text; a null id comes first.
     A single route is its own next one. No rows in, none out.
     """
+    routes, names = numbered(routes.select("route_id", "directions"), "route_id")
     rows = routes.select(F.col("route_id").cast("long").alias("route_id"), F.coalesce("directions", F.lit("")).alias("directions"))
     rows = with_next(rows)
     rows = rows.withColumn("edited", edited(F.col("directions"), F.col("next_directions"))).drop("next_directions")
     rows = with_vector(rows, "edited", "edited_v")
-    return rows.select(
+    out = rows.select(
         "route_id", "directions", "edited", shown(F.col("v")).alias("fingerprint"), shown(F.col("edited_v")).alias("edited_fingerprint"),
         likeness(F.col("v"), F.col("edited_v")).alias("near_edited"), likeness(F.col("v"), F.col("next_v")).alias("near_next"))
+    return named(out, names, "route_id")

@@ -28,6 +28,7 @@ SCALE = 4.0  # margins, in nats an n-gram, are multiplied by this before tanh
 SURE = 0.03  # least lead of the best codeword's loss over the next one's
 WEIGH_ROWS = 4_000  # training names, at most about so many, that weigh the bits
 SPACE = 0
+STEP = 500_000  # bytes of text at once
 
 
 def codewords(k: int) -> np.ndarray:
@@ -56,50 +57,82 @@ def letters() -> np.ndarray:
     return table
 
 
-def features(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hashed feature of every n-gram of the texts' words; a word has one space before and after it."""
+def lowered(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and sign of the texts' letters, with spaces for all else: one at both ends of every text, and no two in turn."""
     rows = len(at) - 1
     place = np.flatnonzero((data & 0xC0) != 0x80)
     code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    row = np.searchsorted(at, place, side="right") - 1
+    row = (np.searchsorted(at, place, side="right") - 1).astype(np.int32)
     sign = table[code]
-    # a space at both ends of every text, and no two of a text in turn
     heads = np.searchsorted(row, np.arange(rows + 1))
     ends = np.concatenate([heads[:-1], heads[1:]])
-    whose = np.tile(np.arange(rows), 2)
+    whose = np.tile(np.arange(rows, dtype=np.int32), 2)
     order = np.lexsort((np.repeat([1, 0], rows), whose, ends))  # a text's opening space comes after the closing one of the text before
     if (heads[1:] == heads[:-1]).any():  # texts without a sign have none of either
         order = order[np.diff(heads)[whose[order]] > 0]
     sign, row = np.insert(sign, ends[order], SPACE), np.insert(row, ends[order], whose[order])
     keep = np.append(True, (sign[1:] != SPACE) | (sign[:-1] != SPACE) | (row[1:] != row[:-1])) if len(sign) else np.zeros(0, bool)
-    sign, row = sign[keep].astype(np.uint64), row[keep]
-    out_row, out = [], []
+    return row[keep], sign[keep]
+
+
+def grams(row: np.ndarray, sign: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hashed feature of every n-gram that ends after the first `known` signs."""
+    sign = sign.astype(np.uint64)
+    out_row, out = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for n in GRAMS:
-        if len(sign) < n:
+        skip = max(0, known - n + 1)
+        s, r = sign[skip:], row[skip:]
+        if len(s) < n:
             continue
-        h = np.full(len(sign) - n + 1, n, np.uint64)
+        h = np.full(len(s) - n + 1, n, np.uint64)
         for i in range(n):
-            h = (h * np.uint64(0x100000001B3)) ^ sign[i : len(sign) - n + 1 + i]
+            h = (h * np.uint64(0x100000001B3)) ^ s[i : len(s) - n + 1 + i]
         h *= np.uint64(0x9E3779B97F4A7C15)
-        ok = sign[: len(h)] != SPACE if n == 1 else row[: len(h)] == row[n - 1 :]
+        ok = s[: len(h)] != SPACE if n == 1 else r[: len(h)] == r[n - 1 :]
         if n == 2:
-            ok &= (sign[:-1] != SPACE) | (sign[1:] != SPACE)
-        out.append((h[ok] >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64))
-        out_row.append(row[: len(h)][ok])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_row]), np.concatenate([none, *out])
+            ok &= (s[:-1] != SPACE) | (s[1:] != SPACE)
+        out.append((h[ok] >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int32))
+        out_row.append(r[: len(h)][ok])
+    return np.concatenate(out_row), np.concatenate(out)
 
 
-def counted(part: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
-    """n-gram counts, one row of FEATURES for each text."""
-    row, feature = features(*utf8(part.column("name")), table)
-    return np.bincount(row * FEATURES + feature, minlength=part.num_rows * FEATURES).reshape(part.num_rows, FEATURES)
+def features(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hashed feature of every n-gram of the texts' words; a word has one space before and after it."""
+    return grams(*lowered(data, at, table))
+
+
+def counted(part: pa.RecordBatch, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and feature of every n-gram of a slice. A long text comes in several parts, the last two signs of one standing before the next."""
+    data, at = utf8(part.column("name"))
+    if part.num_rows > 1 or len(data) <= 2 * STEP:
+        yield features(data, at, table)
+        return
+    held, first = np.zeros(0, np.uint32), 0
+    while first < len(data):
+        last = min(len(data), first + STEP)
+        while last < len(data) and data[last] & 0xC0 == 0x80:
+            last += 1
+        _, sign = lowered(data[first:last], np.array([0, last - first]), table)
+        # the spaces at the borders of a part are no borders of the text
+        begin, end = first > 0 and table[ord(data[first : first + 4].tobytes().decode(errors="ignore")[0])] != SPACE, last < len(data) and not self_ends(data, last, table)
+        sign = sign[int(begin) : len(sign) - int(end)]
+        if len(held) and len(sign) and held[-1] == SPACE == sign[0]:
+            sign = sign[1:]
+        sign = np.concatenate([held, sign])
+        yield grams(np.zeros(len(sign), np.int32), sign, len(held))
+        held, first = sign[-2:], last
+
+
+def self_ends(data: np.ndarray, last: int, table: np.ndarray) -> bool:
+    """Whether the character before `last` is no letter."""
+    lead = last - 1
+    while data[lead] & 0xC0 == 0x80:
+        lead -= 1
+    return table[ord(data[lead:last].tobytes().decode())] == SPACE
 
 
 def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in steps(batch, "name", 1_000_000):
-        for k in range(0, part.num_rows, 500):
-            yield part.slice(k, 500)
+    yield from steps(batch, "name", STEP)
 
 
 @dataclass
@@ -111,13 +144,19 @@ class Model:
     weights: np.ndarray
     trust: np.ndarray
 
-    def margins(self, counts: np.ndarray) -> np.ndarray:
-        total = np.maximum(1, counts.sum(1, keepdims=True))
-        return np.tanh(SCALE * (counts @ self.weights) / total)
-
-    def decoded(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def margins(self, part: pa.RecordBatch, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number from -1 to 1 for each name and bit, and the n-grams of each name."""
+        rows, bits = part.num_rows, self.weights.shape[1]
+        lean, total = np.zeros((rows, bits)), np.zeros(rows, np.int64)
+        for row, feature in counted(part, table):
+            total += np.bincount(row, minlength=rows)
+            for b in range(bits):
+                lean[:, b] += np.bincount(row, weights=self.weights[feature, b], minlength=rows)
+        return np.tanh(SCALE * lean / np.maximum(1, total)[:, None]), total
+
+    def decoded(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language's number, its score from 0 to 1, and the lead over the next one. Loss of a bit is (1 - codeword * margin) / 2."""
-        loss = ((1 - self.margins(counts)[:, None, :] * self.code[None]) / 2 * self.trust[None]).sum(2)
+        loss = np.stack([((1 - margins * word) / 2 * trust).sum(1) for word, trust in zip(self.code, self.trust)], 1)
         best = loss.argmin(1)
         rest = loss.copy()
         rest[np.arange(len(best)), best] = np.inf
@@ -139,10 +178,11 @@ def train(names: DataFrame) -> Model | None:
         table, sums = kept("letters", letters), {}
         for batch in batches:
             for part in small(batch):
-                counts = counted(part, table)
-                lang = np.array(part.column("lang").to_pylist(), object)
-                for x in set(lang.tolist()):
-                    sums[x] = sums.get(x, 0) + counts[lang == x].sum(0)
+                known, lang = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+                for row, feature in counted(part, table):
+                    added = np.bincount(lang[row] * FEATURES + feature, minlength=len(known) * FEATURES).reshape(-1, FEATURES)
+                    for x, n in zip(known.tolist(), added):
+                        sums[x] = sums.get(x, 0) + n
         for x, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "feature", "n"])
@@ -172,7 +212,7 @@ def train(names: DataFrame) -> Model | None:
         table = kept("letters", letters)
         for part in small(batch):
             lang = np.array([languages.index(x) for x in part.column("lang").to_pylist()])
-            right = (model.margins(counted(part, table)) * code[lang] > 0).astype(np.int64)
+            right = (model.margins(part, table)[0] * code[lang] > 0).astype(np.int64)
             b = code.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lang, b)), pa.array(np.tile(np.arange(b), len(lang))), pa.array(right.ravel())], ["i", "b", "ok"])
 
@@ -200,13 +240,13 @@ def predict(places: DataFrame, model: Model | None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = kept("letters", letters)
         for part in small(batch):
-            counts = counted(part, table)
-            void = counts.sum(1) == 0
             if model is None:
-                void[:] = True
+                void = np.ones(part.num_rows, bool)
                 lang, score, lead = ["und"] * len(void), np.zeros(len(void)), np.zeros(len(void))
             else:
-                best, score, lead = model.decoded(counts)
+                margins, total = model.margins(part, table)
+                void = total == 0
+                best, score, lead = model.decoded(margins)
                 lang = ["und" if v else model.languages[i] for v, i in zip(void, best)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(np.where(void, 0.0, score)), pa.array(void | (lead < SURE))], [*names, "lang_pred", "score", "ambiguous"])
 

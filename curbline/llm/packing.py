@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import Codes, kept, runs, shares, steps, utf8
+from .common import Codes, kept, named, numbered, runs, shares, steps, utf8
 from .merging import Merger, PairTable
 
 WINDOW = 2048
 END = 1  # id after each text
 CHUNK = 1 << 20  # ids that one programme spans at least, if the partition has them
 SENTENCE, FORCED = 8, 64  # penalties, in ids of padding: a text cut after a sentence, elsewhere
+OPENED = 512  # and of every sequence, or many would be made as short as a power of two
 REACH = WINDOW // 8  # a stretch without a sentence's end gets a cut so often
 CACHE_WORDS = 600_000
 PLAIN = re.compile(b"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,;:!?]?")
@@ -41,7 +42,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: told apart in the raw text, before it is split
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         with open(path, encoding="utf-8") as f:
             merges = json.load(f)["model"]["merges"]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -96,7 +98,11 @@ class Words:
 def tokenised(words: Words, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids with END after each text, the ids of each text, and where sentences end among all ids."""
     raw = data.tobytes()
-    split = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    texts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    for token in words.special:
+        if token in raw:
+            texts = [t.replace(token, b" " + token + b" ") for t in texts]
+    split = [t.split() for t in texts]
     per = np.fromiter(map(len, split), np.int64, len(split))
     codes = words.codes([w for ws in split for w in ws])
     counts = words.counts[codes]
@@ -125,7 +131,7 @@ def candidates(ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndar
 def chosen(cut: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """The ends of sequences with the least padding and penalties.
 
-    least[j] = cost[j] + min over i of least[i] + padding(cut[j] - cut[i]), where
+    least[j] = cost[j] + OPENED + min over i of least[i] + padding(cut[j] - cut[i]), where
     a length that is a power of two has no padding and any other up to WINDOW is
     filled. Filling is least[i] + cut[i] + WINDOW - cut[j]: the minimum of
     least + cut over a sliding window, which a queue with rising values holds at
@@ -140,7 +146,7 @@ def chosen(cut: np.ndarray, cost: np.ndarray) -> np.ndarray:
     to, frm = np.concatenate(to), np.concatenate(frm)
     order = np.argsort(to, kind="stable")
     to, frm = [*to[order].tolist(), -1], [*frm[order].tolist(), -1]
-    at, fee = cut.tolist(), cost.tolist()
+    at, fee = cut.tolist(), (cost + OPENED).tolist()
     n = len(at)
     least, back = [0] * n, [0] * n
     value, queue, head, p = [0] * n, [0], 0, 0
@@ -186,8 +192,8 @@ PIECES = "route_id long, start long, length long, token_bytes binary, route_toke
 def pack(routes: DataFrame, path: str) -> DataFrame:
     """Packs the ids of every route's `directions` into sequences of at most 2048 ids.
 
-    routes: route_id (long), directions; other columns are left out. path: a
-    tokenizers file that the workers can read. One row for each piece: route_id,
+    routes: route_id (of any type with an order), directions; other columns are left out. path: a
+    tokenizers file that the workers can read, whose special tokens count as such. One row for each piece: route_id,
     start (its text's ids before it), length, token_bytes (ids, little-endian
     unsigned 32-bit), route_tokens (the text's ids, id 1 at the end included),
     sequence_id, offset in the sequence. Sequences have no gaps; they are filled
@@ -200,6 +206,7 @@ def pack(routes: DataFrame, path: str) -> DataFrame:
     read as a stream; a programme spans about a million ids of it.
     """
     ship()
+    routes, names = numbered(routes.select("route_id", "directions"), "route_id")
     ranges = shares(routes, RANGE_ROWS)
     # Equal ids are dealt on by their text, so that one id with many rows is no one task's.
     keyed = routes.select(F.col("route_id").cast("long").alias("route_id"), "directions", F.xxhash64("directions").alias("mark"))
@@ -232,4 +239,4 @@ def pack(routes: DataFrame, path: str) -> DataFrame:
         if held:
             yield solved(held, base)
 
-    return ordered.mapInArrow(run, PIECES)
+    return named(ordered.mapInArrow(run, PIECES), names, "route_id")

@@ -167,7 +167,7 @@ def audits(turns: DataFrame) -> DataFrame:
 
     conv_type = turns.schema["conv_id"].dataType
     parts = rows.mapInArrow(pack, T.StructType([T.StructField("conv_id", conv_type), T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("rows", T.BinaryType())]))
-    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "rows"))).alias("parts"))
+    whole = parts.repartition(shares(facts, TURN_ROWS), "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "rows"))).alias("parts"))
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import per_batch, runs, shares, steps, utf8
+from .common import named, numbered, per_batch, runs, shares, steps, utf8
 
 DEPTH = 50
 GRAM = 24
@@ -33,10 +33,16 @@ BUCKET_BYTES = 14_000_000  # of all texts for each bucket, about
 HOT = 4_096  # routes that hold a mark, from which it is filed by whole strings
 ROUTE_ROWS = 5_000
 SLICES = 4
-LOW = np.uint64((1 << 48) - 2)  # bits of a mark beside its bucket; the last one says hot
+MOST_PARTS = 1 << 16  # partitions; beyond, each takes several buckets in turn
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
+def beside(bits: int) -> tuple[np.uint64, np.uint64]:
+    """Where a mark's bucket stands in it, and the bits below, 48 at most; the last one says hot."""
+    at = 64 - max(16, bits)
+    return np.uint64(at), np.uint64((1 << at) - 2)
+
+
 def words(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
     """The 8 bytes from each byte on, as a number."""
     return np.ndarray((len(data) - 7,), kind, np.ascontiguousarray(data), strides=(1,))
@@ -70,7 +76,8 @@ def stretches(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray,
     head = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])))
     v = mixed(value[head] * A)  # the least of many hashes is small; marks are spread again
     bucket = (v >> np.uint64(64 - bits)).astype(np.int64)
-    return text[head], start[head], np.diff(np.append(head, len(start))), (bucket.astype(np.uint64) << np.uint64(48)) | (v & LOW), bucket
+    shift, low = beside(bits)
+    return text[head], start[head], np.diff(np.append(head, len(start))), (bucket.astype(np.uint64) << shift) | (v & low), bucket
 
 
 def grouped(sorted_by: np.ndarray) -> np.ndarray:
@@ -114,13 +121,13 @@ def marks_of(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
         many = np.flatnonzero(shared)
         many = many[np.lexsort((text[many], bucket[many]))]
         rep = head[size > 1]
-        edges = np.arange((1 << bits) + 1)
-        cut = [np.searchsorted(bucket[x], edges) for x in (lone, rep, many)]
+        filled, bits_low = np.unique(bucket), beside(bits)[1]
+        cut = [np.append(np.searchsorted(bucket[x], filled), len(x)) for x in (lone, rep, many)]
         out_bucket, blobs = [], []
-        for b in np.unique(bucket).tolist():
-            l, r, m = (x[c[b] : c[b + 1]] for x, c in zip((lone, rep, many), cut))
+        for i, b in enumerate(filled.tolist()):
+            l, r, m = (x[c[i] : c[i + 1]] for x, c in zip((lone, rep, many), cut))
             lh, mh = grouped(text[l]), grouped(text[m])
-            low, rlow = mark[l] & LOW, mark[r] & LOW
+            low, rlow = mark[l] & bits_low, mark[r] & bits_low
             split = lambda v: ((v & np.uint64(0xFFFFFFFF)).astype("<u4"), (v >> np.uint64(32)).astype("<u2"))
             out_bucket.append(b)
             blobs.append(packed(ids[text[l]][lh].astype("<i8"), np.diff(np.append(lh, len(l))).astype("<u4"), *split(low), *split(rlow), size[np.searchsorted(head, r)].astype("<u4"), ids[text[m]][mh].astype("<i8"), np.diff(np.append(mh, len(m))).astype("<u4"), mark[m].astype("<u8")))
@@ -152,10 +159,10 @@ def texts_with(key: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[h].astype(np.int64)), blob], ["key", "marks"])
 
 
-def held_by_several(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+def held_by_several(batches: Iterator[pa.RecordBatch], hot: int, bits: int) -> Iterator[pa.RecordBatch]:
     """(key, marks) for each text: those of its marks that other texts hold too, the last bit set on hot ones."""
     for bucket, blobs in by_bucket(batches):
-        base = np.uint64(bucket) << np.uint64(48)
+        base = np.uint64(bucket) << beside(bits)[0]
         lone_id, lone, rep, weight, many_id, many = [], [], [], [], [], []
         for blob in blobs:
             i, n, a, b, ra, rb, w, mi, mn, m = unpacked(blob, *MARKS)
@@ -364,7 +371,7 @@ def cut_out(batch: pa.RecordBatch, whole_characters: bool) -> Iterator[pa.Record
 def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """(route_id, directions, kept, spans): every route's directions without the passages that a smaller route_id has.
 
-    routes: route_id (long), directions; other columns are left out. Directions
+    routes: route_id (of any type with an order), directions; other columns are left out. Directions
     are taken as UTF-8, null as empty. Each byte covered by a string of 50 bytes
     that also begins in the directions of a smaller route_id goes; overlaps
     count, matches never run from one text into another, and all is judged on
@@ -380,8 +387,9 @@ def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = Fal
     share travels once.
     """
     ship()
+    routes, names = numbered(routes.select("route_id", "directions"), "route_id")
     total = routes.agg(F.sum(F.octet_length("directions"))).head()[0] or 0
-    bits = min(16, max(4, math.ceil(math.log2(max(1, total / BUCKET_BYTES)))))
+    bits = min(30, max(4, math.ceil(math.log2(max(1, total / BUCKET_BYTES)))))
     n = shares(routes, ROUTE_ROWS)
     key = F.coalesce(F.col("route_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("key")
     rows = routes.select(key, F.coalesce("directions", F.lit("")).alias("directions"))
@@ -396,16 +404,17 @@ def drop_repeats(routes: DataFrame, hot: int = HOT, whole_characters: bool = Fal
     alone = texts.join(copies.hint("shuffle_hash"), "key", "left").where(~whole).select("key", "directions")
 
     marks = per_batch(alone, lambda b: marks_of(b, bits), "bucket int, blob binary")
-    marks = marks.repartition(max(n, 1 << bits), "bucket").sortWithinPartitions("bucket")
-    shared = marks.mapInArrow(lambda it: held_by_several(it, hot), "key long, marks binary")
+    marks = marks.repartition(max(n, min(1 << bits, MOST_PARTS)), "bucket").sortWithinPartitions("bucket")
+    shared = marks.mapInArrow(lambda it: held_by_several(it, hot, bits), "key long, marks binary")
     shared = shared.repartition(n, "key").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     touched = texts.join(shared.hint("shuffle_hash"), "key")
     found = per_batch(touched, lambda b: stretches_of(b, bits), "bucket int, blob binary, key long, twin long, first long, count long")
     place = F.coalesce("bucket", F.xxhash64("key", "twin", "first"))
-    found = found.repartition(max(n, 1 << bits), place).sortWithinPartitions("bucket")
+    found = found.repartition(max(n, min(1 << bits, MOST_PARTS)), place).sortWithinPartitions("bucket")
     gone = found.mapInArrow(removed_runs, "key long, twin long, first long, count long")
     gone = gone.repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("twin", "first", "count")).alias("runs"))
     runs_ = F.transform(F.filter("runs", lambda r: r["twin"] == F.col("twin")), lambda r: F.struct(r["first"].alias("first"), r["count"].alias("count")))
     out = texts.join(copies.hint("shuffle_hash"), "key", "left").join(gone.hint("shuffle_hash"), "key", "left")
     out = out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("route_id"), "directions", whole.alias("whole"), F.coalesce(runs_, F.array().cast("array<struct<first:bigint,count:bigint>>")).alias("runs"))
-    return per_batch(out, lambda b: cut_out(b, whole_characters), "route_id long, directions string, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    cut = per_batch(out, lambda b: cut_out(b, whole_characters), "route_id long, directions string, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return named(cut, names, "route_id")

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Workspace, ship
-from .common import components, per_batch, shares, steps, utf8
+from .common import components, named, numbered, per_batch, shares, steps, utf8
 
 WORDS = 4
 SEED = 42
 REACH = 4
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
+AT_ONCE = 200_000  # shingles
 FP_ROWS = 20_000  # fingerprints whose keys a partition takes
 HELD = 1 << 20  # links that a task holds before it reduces them to a forest
 
@@ -52,11 +53,15 @@ def hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(rows), many)
     head = first[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
     tail = np.minimum(head + WORDS - 1, last[row])
-    h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start[head].tolist(), end[tail].tolist())], np.uint64)
     has = np.flatnonzero(per)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, (np.cumsum(many) - many)[has], axis=0, dtype=np.int64)
-    out[has] = np.packbits(2 * ones > many[has, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    ones = np.zeros((rows, 64), np.int64)
+    for k in range(0, len(row), AT_ONCE):  # a long text comes in several parts
+        a, b, own = start[head[k : k + AT_ONCE]], end[tail[k : k + AT_ONCE]], row[k : k + AT_ONCE]
+        h = np.fromiter((xxh64_intdigest(joined[x:y], SEED) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(own))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first_of = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        ones[own[first_of]] += np.add.reduceat(bits, first_of, axis=0, dtype=np.int64)
+    out[has] = np.packbits(2 * ones[has] > many[has, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -192,7 +197,7 @@ def links(prints: DataFrame) -> DataFrame:
 def near_copies(places: DataFrame) -> DataFrame:
     """(place_id, fingerprint, component_id): which places have nearly the same name.
 
-    places: place_id (long), name; other columns are left out. Fingerprints that
+    places: place_id (of any type with an order), name; other columns are left out. Fingerprints that
     differ in four bits or fewer are linked; component_id is the smallest
     place_id that links lead to, itself included. Names without a word are alike.
     Equal fingerprints are one vertex, so copies cost a count before the shuffle.
@@ -200,10 +205,11 @@ def near_copies(places: DataFrame) -> DataFrame:
     component's name unless all its members are null. No rows in, none out.
     """
     ws = Workspace(places.sparkSession, "simhash")
+    places, names = numbered(places.select("place_id", "name"), "place_id")
     rows = ws.write(fingerprints(places.select(F.col("place_id").cast("long").alias("place_id"), "name")).drop("name"), "rows")
     prints = ws.write(rows.groupBy("fingerprint").agg(F.min("place_id").alias("first")), "prints")
     joined = components(ws.write(links(prints), "links"), ws)
     labelled = prints.join(joined, prints.fingerprint == joined.member, "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "component").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("place_id", "fingerprint", "component_id")
+    told = labelled.join(least, "component").select("fingerprint", "component_id")
+    return named(rows.join(told, "fingerprint").select("place_id", "fingerprint", "component_id"), names, "place_id", "component_id")

@@ -91,7 +91,6 @@ def test_secrets_are_put_out_of_sight(stages):
 
 def test_packed_ids_are_those_of_the_texts(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     by = defaultdict(list)
     for r in stages["packed"][1]:
         by[r.doc_id].append(r)
@@ -120,3 +119,11 @@ def test_language_drops_nothing_but_what_has_no_letter(spark, stages):
     assert before - after == {9001, 9002, 9003}
     docs = stages["documents"][0].withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == after
+
+
+def test_clashing_columns_keep_their_values(spark, stages):
+    docs = stages["documents"][0].select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(c), "doc_id").alias(c) for c in ("name", "html", "row", "id", "mark", "new_text", "lang_pred", "score", "secrets", "kept_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        for r in docs.where("doc_id is not null").collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in ("name", "html", "row", "id", "mark", "new_text", "lang_pred", "score", "secrets", "kept_id")), name

@@ -59,19 +59,18 @@ def test_automaton_cache_starts_anew(library):
     v = bpe.Vocabulary(RANKS)
     v.codes([b" Main", b" Street"])
     v.clear()
-    assert v.ids[v.starts[v.codes([b" Street"])[0]]] == library.encode_ordinary(" Street")[0]
+    code = v.codes([b" Street"])[0]  # this replaces ids and starts
+    assert v.ids[v.starts[code]] == library.encode_ordinary(" Street")[0]
 
 
 @pytest.fixture(scope="module")
 def word_library():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def test_packing_keeps_every_id_once(spark, word_library):
     rng = random.Random(5)
-    texts = NAMES + odd_texts(300) + [" ".join(rng.choices(["turn", "left.", "on", "Élan,", "main"], k=rng.randint(1, 4000))) for _ in range(30)]
+    texts = NAMES + ["turn <|endoftext|> left<|startoftext|>on <|EndOfText|>"] + odd_texts(300) + [" ".join(rng.choices(["turn", "left.", "on", "Élan,", "main"], k=rng.randint(1, 4000))) for _ in range(30)]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x"), (7, "again", "x")]
     got = packing.pack(spark.createDataFrame(rows, "route_id long, directions string, sequence_id string"), WORDS).collect()
     by, seqs = defaultdict(list), defaultdict(list)
@@ -111,9 +110,9 @@ def test_cuts_cost_no_more_than_a_plain_programme():
         least = {0: 0}
         pad = lambda k: 0 if k & (k - 1) == 0 else packing.WINDOW - k
         for j in range(1, len(cut)):
-            least[j] = cost[j] + min(least[i] + pad(int(cut[j] - cut[i])) for i in range(j) if cut[j] - cut[i] <= packing.WINDOW)
+            least[j] = cost[j] + packing.OPENED + min(least[i] + pad(int(cut[j] - cut[i])) for i in range(j) if cut[j] - cut[i] <= packing.WINDOW)
         out = packing.chosen(cut, cost)
-        found = sum(pad(int(b - a)) for a, b in zip([0, *out[:-1]], out)) + cost[np.searchsorted(cut, out)].sum()
+        found = sum(pad(int(b - a)) for a, b in zip([0, *out[:-1]], out)) + (cost[np.searchsorted(cut, out)] + packing.OPENED).sum()
         assert out[-1] == ends[-1] and found == least[len(cut) - 1]
 
 
