@@ -8,7 +8,7 @@ columns of documents; other columns that docs may have go with their rows.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm import languages, packing, repeats, secrets, simhash
@@ -17,30 +17,39 @@ from curbline.session import Workspace, table
 
 def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """docs with `text` from changed (doc_id, was, text), and n_chars after it. Rows meet by doc_id and the
-    text that they had, so that repeated ids and rows keep their own."""
+    text that they had, so that repeated ids and rows keep their own. The row goes along as one column, so that no name in it can clash."""
     key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)).cast("long"))
     mark = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
     # one exchange serves the duplicates and the join: the keys are the same, and not null
-    new = changed.select(key("doc_id").alias("_new_id"), mark("was").alias("_new_mark"), F.col("text").alias("_new_text")).dropDuplicates(["_new_id", "_new_mark"])
-    met = docs.withColumns({"_id": key("doc_id"), "_mark": mark("text")}).join(new, (F.col("_id") == F.col("_new_id")) & (F.col("_mark") == F.col("_new_mark")))
-    out = {"text": F.col("_new_text"), "n_chars": F.length("_new_text").cast("long")}
-    return met.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
+    new = changed.select(key("doc_id").alias("new_id"), mark("was").alias("new_mark"), F.col("text").alias("new_text")).dropDuplicates(["new_id", "new_mark"])
+    met = docs.select(whole(docs), key("doc_id").alias("id"), mark("text").alias("mark")).join(new, (F.col("id") == F.col("new_id")) & (F.col("mark") == F.col("new_mark")))
+    return opened(met, docs, F.col("new_text"))
+
+
+def whole(docs: DataFrame) -> Column:
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def opened(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs from `row`, with another text, if one is given, and its n_chars."""
+    out = {} if text is None else {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*(out[c].alias(c) if c in out else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language. Those without a letter go; ambiguous ones stay, as clean short texts
     are among them, and without any label all that have a letter."""
     model = languages.train(docs.select(F.col("text").alias("name"), "lang"))
-    told = languages.predict(docs.withColumn("name", F.col("text")), model)
-    has = F.col("lang_pred") != "und" if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return told.where(has).select(docs.columns)
+    told = languages.predict(docs.select(whole(docs), F.col("text").alias("name")), model)
+    has = F.col("lang_pred") != "und" if model else F.coalesce(F.col("name").rlike(r"\p{L}"), F.lit(False))
+    return opened(told.where(has), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component."""
     found = simhash.near_copies(docs.select(F.col("doc_id").alias("place_id"), F.col("text").alias("name")))
     first = found.where("place_id <=> component_id").select(F.col("place_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return opened(docs.select(whole(docs), F.col("doc_id").alias("own_id")).join(first, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi"), docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +62,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [SECRET] in the place of every span that is found."""
-    found = secrets.find(docs.withColumn("html", F.col("text")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    text = secrets.masked(F.col("html"), F.col("secrets"))
-    found = found.withColumn("text", text)
-    return found.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    found = secrets.find(docs.select(whole(docs), F.col("text").alias("html")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return opened(found, docs, secrets.masked(F.col("html"), F.col("secrets")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
