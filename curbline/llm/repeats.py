@@ -29,7 +29,7 @@ DEPTH = 50
 GRAM = 24
 PASSES = (0, 8, 16, 24, 32, 40, 42)  # where the digits of the passes begin; the last two overlap
 STEP = 2_000_000  # bytes of text at once
-BUCKET_BYTES = 14_000_000  # of all texts for each bucket, about
+BUCKET_BYTES = 7_000_000  # of all texts for each bucket, about
 HOT = 4_096  # routes that hold a mark, from which it is filed by whole strings
 ROUTE_ROWS = 5_000
 SLICES = 4
@@ -254,16 +254,16 @@ def stretches_of(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4))], names)
 
 
-def equal_strings(data: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Radix passes over the strings of DEPTH bytes that begin at `at`: (string, group) of those that a string of
-    another key equals. After each pass, groups of one key are left out. The strings are taken in SLICES parts by
+def equal_strings(data: np.ndarray, at: np.ndarray, key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Radix passes over the strings of DEPTH bytes that begin at `at`, own[i] saying which key string i has: (string, group)
+    of those that a string of another key equals. After each pass, groups of one key are left out. The strings are taken in SLICES parts by
     their first digit, so that the sorts stay small."""
     digit = words(data, ">u8")
     part = (mixed(digit[at].astype(np.uint64)) % np.uint64(SLICES)).astype(np.int8)
     orders, groups, base = [], [], 0
     for k in range(SLICES):
-        order = np.flatnonzero(part == k)
-        group = np.zeros(len(order), np.int64)
+        order = np.flatnonzero(part == k).astype(np.int32)  # a bucket has fewer strings than that holds
+        group = np.zeros(len(order), np.int32)
         for p in PASSES:
             if not len(order):
                 break
@@ -272,9 +272,9 @@ def equal_strings(data: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np
             order, group, d = order[by], group[by], d[by]
             head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (d[1:] != d[:-1])))
             size = np.diff(np.append(head, len(order)))
-            k_ = key[order]
+            k_ = key[own[order]]
             several = np.minimum.reduceat(k_, head) != np.maximum.reduceat(k_, head)
-            order, group = order[np.repeat(several, size)], np.repeat(np.arange(int(several.sum())), size[several])
+            order, group = order[np.repeat(several, size)], np.repeat(np.arange(int(several.sum()), dtype=np.int32), size[several])
         orders.append(order)
         groups.append(group + base)
         base += int(group[-1]) + 1 if len(group) else 0
@@ -307,8 +307,9 @@ def removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
         size = many + DEPTH - 1
         offset = np.cumsum(size) - size
-        at, own = runs(offset, many), np.repeat(np.arange(len(many)), many)
-        order, group = equal_strings(data, at, key[own])
+        narrow = np.int32 if len(data) < 1 << 31 else np.int64
+        at, own = runs(offset, many).astype(narrow), np.repeat(np.arange(len(many), dtype=narrow), many)
+        order, group = equal_strings(data, at, key, own)
         if not len(order):
             continue
         k = key[own[order]]
