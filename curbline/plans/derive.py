@@ -190,6 +190,18 @@ def trips(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def far_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per supplier, from anywhere on the grid to anywhere."""
+    return (
+        table(spark, sf, "supplier").select("s_suppkey").withColumn("n", n_nodes(spark, sf))
+        .selectExpr("s_suppkey as req_id", "37 * s_suppkey % n as a", "(7919 * s_suppkey + 53) % n as b")
+        .selectExpr(
+            "req_id", f"element_at({VEHICLE_IDS}, cast(req_id % 8 as int) + 1) as vehicle",
+            f"{LON0} + {DLON} * (a % 100) as start_lon", f"{LAT0} + {DLAT} * cast(floor(a / 100) as bigint) as start_lat",
+            f"{LON0} + {DLON} * (b % 100) as end_lon", f"{LAT0} + {DLAT} * cast(floor(b / 100) as bigint) as end_lat")
+    )
+
+
 def riders_at(spark: SparkSession, sf: str) -> DataFrame:
     """One point per order, used as query points for nearest joins."""
     return (

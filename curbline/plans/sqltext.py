@@ -140,3 +140,7 @@ trips2 AS (SELECT req_id, a, e+CASE WHEN e+100*(req_id%3)<n THEN 100*(req_id%3)
 trips AS (SELECT req_id, ['scooter','emb','euc','ebike_c1','ebike_c2','ebike_c3','moped','emoto'][req_id%8+1] AS vehicle,
   -1.2253e2+1.6e-3*(a%100)+CASE WHEN req_id%7=0 THEN 5e-4 ELSE 0e0 END AS start_lon, 3.7705e1+9e-4*CAST(floor(a/100) AS BIGINT) AS start_lat,
   -1.2253e2+1.6e-3*(b%100) AS end_lon, 3.7705e1+9e-4*CAST(floor(b/100) AS BIGINT) AS end_lat FROM trips2)"""
+
+FAR_TRIPS = f"""trips0 AS (SELECT s_suppkey AS req_id, 37*s_suppkey%{N} AS a, (7919*s_suppkey+53)%{N} AS b FROM supplier),
+trips AS (SELECT req_id, ['scooter','emb','euc','ebike_c1','ebike_c2','ebike_c3','moped','emoto'][req_id%8+1] AS vehicle,
+  -1.2253e2+1.6e-3*(a%100) AS start_lon, 3.7705e1+9e-4*CAST(floor(a/100) AS BIGINT) AS start_lat, -1.2253e2+1.6e-3*(b%100) AS end_lon, 3.7705e1+9e-4*CAST(floor(b/100) AS BIGINT) AS end_lat FROM trips0)"""
