@@ -1,18 +1,24 @@
 """Fixpoints over edge tables: components, street speeds, reachability.
 
 Every round writes its result and reads it back, so plans stay small and a
-lost executor re-reads a table. Rounds are few: components hook and jump
-(logarithmic), and strong components first contract two-way streets, which
-is nearly all of a street network.
+lost executor re-reads a table. Rounds are few: what lies in one map tile is
+solved there first, all tiles at once; components then hook and jump
+(logarithmic), and strong components contract two-way streets, then chains by
+pointer doubling, before they spread anything along arcs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
-from ..session import Workspace
+from ..session import Workspace, ship
+
+CELL_DEG = 0.02  # side of the tiles that are solved by themselves, about two kilometres
+LAYERS = 2  # ends cut off one after the other before chains are sought again
 
 
 def connected_components(links: DataFrame, ws: Workspace, label: str = "cc") -> DataFrame:
@@ -67,21 +73,23 @@ def _contracted(arcs: DataFrame, merged: DataFrame) -> DataFrame:
     )
 
 
-def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None = None) -> DataFrame:
+def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """(node, comp) for directed arcs (u, v); comp is the smallest member.
 
-    Mutual arcs are merged by connected_components until none is left; sets
-    without a way in or out are finished; what remains (one-way loops) is
-    split by spreading the largest name forward and sweeping back from its
-    owner, over and over.
+    cells: (node, cell), where nodes lie, each cell with a bounded number of arcs; those
+    within one are solved there first. Then, over and over: mutual arcs are merged by
+    connected_components; chains of vertices with one way in and one way out become one
+    arc each (a ring of them is a component); vertices without a way in or out are
+    finished; and if none of that changes anything, loops are split by spreading the
+    largest name forward from all vertices and sweeping back from its owners.
     """
     vertices = vertices if vertices is not None else arcs.select("u").union(arcs.select("v")).distinct()
     vertices = vertices.toDF("node")
     part = ws.write(vertices.withColumn("comp", F.col("node")), "scc-part-0")
     live = ws.write(arcs.where("u <> v").select("u", "v").distinct(), "scc-arcs-0")
-    step = 0
+    step, links = 0, []
 
-    def merge(sets: DataFrame, tag: str) -> None:
+    def merge(sets: DataFrame) -> None:
         """Rename current sets (node -> comp), in the partition and the arcs."""
         nonlocal part, live, step
         step += 1
@@ -89,28 +97,120 @@ def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None
         part = ws.write(part.join(names, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"scc-part-{step}")
         live = ws.write(_contracted(live, sets), f"scc-arcs-{step}")
 
-    def trim() -> None:
-        nonlocal live, step
-        while True:
-            step += 1
-            through = live.select(F.col("u").alias("n")).intersect(live.select(F.col("v").alias("n")))
-            ends = through.select(F.col("n").alias("u"))
-            kept = live.join(ends, "u", "left_semi").join(through.select(F.col("n").alias("v")), "v", "left_semi")
-            before = live.count()
-            live = ws.write(kept.select("u", "v"), f"scc-arcs-{step}")
-            if live.count() == before:
-                return
-
+    if cells is not None:
+        merge(ws.write(_in_cells(live, cells), "scc-cells"))
     while True:
         mutual = live.join(live.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi").where("u < v")
         mutual = ws.write(mutual, f"scc-mutual-{step}")
         if not mutual.isEmpty():
-            merge(connected_components(mutual, ws, f"scc-cc-{step}"), "mutual")
+            merge(connected_components(mutual, ws, f"scc-cc-{step}"))
             continue
-        trim()
-        if live.isEmpty():
-            return part
-        merge(_one_way_loops(live, ws, f"scc-loop-{step}"), "loops")
+        chains = _chains(live, ws, f"scc-chain-{step}")
+        if chains is not None:
+            ring = chains.where("ring").select("node", F.col("low").alias("comp"))
+            inner = chains.where("not ring").select("node", "head", "tail")
+            links.append(inner)
+            gone = inner.select(F.col("node").alias("u"))
+            rest = live.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v")
+            step += 1
+            live = ws.write(rest.unionByName(inner.select(F.col("head").alias("u"), F.col("tail").alias("v")).where("u <> v")).distinct(), f"scc-arcs-{step}")
+            if not ring.isEmpty():
+                merge(ring)
+        size, trimmed = live.count(), False
+        for _ in range(LAYERS):
+            through = live.select(F.col("u").alias("n")).intersect(live.select(F.col("v").alias("n")))
+            kept = live.join(through.select(F.col("n").alias("u")), "u", "left_semi").join(through.select(F.col("n").alias("v")), "v", "left_semi").select("u", "v")
+            step += 1
+            live = ws.write(kept, f"scc-arcs-{step}")
+            was, size = size, live.count()
+            if size == was:
+                break
+            trimmed = True
+        if not size:
+            break
+        if not trimmed and chains is None:
+            merge(_one_way_loops(live, ws, f"scc-loop-{step}"))
+    for k, inner in enumerate(reversed(links)):
+        # a chain belongs to a component if both its ends do
+        of = lambda c: part.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        closed = inner.join(of("head"), "head").join(of("tail"), "tail").where("head_comp = tail_comp").select(F.col("node").alias("comp"), F.col("head_comp").alias("into"))
+        part = ws.write(part.join(closed, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"scc-closed-{k}")
+    least = part.groupBy("comp").agg(F.min("node").alias("least"))
+    return part.join(least, "comp").select("node", F.col("least").alias("comp"))
+
+
+def _loops_within(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of a small graph and the least vertex of the strong set of each: depth first, sets closed on the way back."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    n, ahead = len(names), [[] for _ in range(len(names))]
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        ahead[a].append(b)
+    seen, low, closed, comp, stack, count = [-1] * n, [0] * n, [False] * n, list(range(n)), [], 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        path = [(root, 0)]
+        while path:
+            x, i = path.pop()
+            if i == 0:
+                seen[x] = low[x] = count
+                count += 1
+                stack.append(x)
+            elif seen[ahead[x][i - 1]] >= 0 and not closed[ahead[x][i - 1]]:
+                low[x] = min(low[x], low[ahead[x][i - 1]])
+            if i < len(ahead[x]):
+                path.append((x, i + 1))
+                if seen[ahead[x][i]] < 0:
+                    path.append((ahead[x][i], 0))
+                continue
+            if low[x] == seen[x]:
+                members = []
+                while not members or members[-1] != x:
+                    members.append(stack.pop())
+                least = min(members)
+                for m in members:
+                    closed[m], comp[m] = True, least
+    return names, names[np.array(comp, np.int64)] if n else names
+
+
+def _in_cells(arcs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(node, comp): the strong sets of the arcs that stay within a cell."""
+    ship()
+    at = lambda c: cells.select(F.col("node").alias(c), F.col("cell").alias(f"{c}_cell"))
+    inner = arcs.join(at("u"), "u").join(at("v"), "v").where("u_cell = v_cell").select("u_cell", "u", "v")
+    kind = arcs.schema["u"].dataType.simpleString()
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        node, comp = _loops_within(rows["u"].to_numpy(), rows["v"].to_numpy())
+        return pd.DataFrame({"node": node, "comp": comp})[node != comp]
+
+    return inner.groupBy("u_cell").applyInPandas(solve, f"node {kind}, comp {kind}")
+
+
+def _chains(arcs: DataFrame, ws: Workspace, label: str) -> DataFrame | None:
+    """(node, ring, head, tail, low) of vertices with one arc in and one out: the first other vertex behind and ahead, or, in
+    a ring of such vertices, the least of them. None if there are none. Pointers double each round, both ways."""
+    out = arcs.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("v").alias("tail"))
+    into = arcs.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("u").alias("head"))
+    mid = ws.write(out.join(into, "node").where("n_out = 1 and n_in = 1").select("node", "head", "tail"), f"{label}-mid")
+    if mid.isEmpty():
+        return None
+    known = lambda c: mid.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_open"))
+    state = mid.join(known("head"), "head", "left").join(known("tail"), "tail", "left").select(
+        "node", "head", "tail", F.coalesce("head_open", F.lit(False)).alias("head_open"), F.coalesce("tail_open", F.lit(False)).alias("tail_open"), F.col("node").alias("low"), F.lit(True).alias("changed"))
+    state = ws.write(state, f"{label}-0")
+    done = 0
+    # a chain's ends are found at last; a ring has none, and its least vertex is known to all when nothing changes
+    while (s := state.agg(F.max(F.col("head_open") | F.col("tail_open")), F.max("changed")).head())[0] and s[1]:
+        back = state.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("head_open").alias("head_open2"))
+        on = state.select(F.col("node").alias("tail"), F.col("tail").alias("tail2"), F.col("tail_open").alias("tail_open2"), F.col("low").alias("low2"))
+        met = state.drop("changed").join(back, "head", "left").join(on, "tail", "left")
+        further = {c: F.when(F.col(f"{side}_open"), F.col(f"{c}2")).otherwise(F.col(c) if c == side else F.lit(False)) for side in ("head", "tail") for c in (side, f"{side}_open")}
+        low = F.when(F.col("tail_open"), F.least("low", "low2")).otherwise(F.col("low"))
+        changed = (low < F.col("low")) | (further["head_open"] != F.col("head_open")) | (further["tail_open"] != F.col("tail_open"))
+        done += 1
+        state = ws.write(met.select("node", *(e.alias(c) for c, e in further.items()), low.alias("low"), changed.alias("changed")), f"{label}-{done}")
+    return state.select("node", F.col("tail_open").alias("ring"), "head", "tail", "low")
 
 
 def class_components(edges: DataFrame, access: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFrame:
@@ -123,11 +223,14 @@ def class_components(edges: DataFrame, access: DataFrame, nodes: DataFrame, ws:
     arcs = ws.write(arcs, "class-arcs")
     seen = arcs.select("who", F.col("from_node").alias("node")).union(arcs.select("who", "to_node")).union(nodes.select(F.lit("any"), "node_id"))
     ids = ws.write(seen.distinct().withColumn("id", F.monotonically_increasing_id()), "class-vertices")
+    side = F.lit(CELL_DEG)
+    where = nodes.select(F.col("node_id").alias("node"), F.floor(F.col("lon") / side).alias("cx"), F.floor(F.col("lat") / side).alias("cy"))
+    cells = ids.join(where, "node").select(F.col("id").alias("node"), F.struct("who", "cx", "cy").alias("cell"))
     numbered = (
         arcs.join(ids.select("who", F.col("node").alias("from_node"), F.col("id").alias("u")), ["who", "from_node"])
         .join(ids.select("who", F.col("node").alias("to_node"), F.col("id").alias("v")), ["who", "to_node"]).select("u", "v")
     )
-    found = strong_components(numbered, ws, ids.select("id"))
+    found = strong_components(numbered, ws, ids.select("id"), cells)
     member = ids.join(found.withColumnRenamed("node", "id"), "id")
     names = member.groupBy("comp").agg(F.min("node").alias("least"))
     return member.join(names, "comp").select("who", "node", F.col("least").alias("comp"))
