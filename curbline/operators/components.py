@@ -18,6 +18,8 @@ from .. import params
 from ..session import Workspace, ship
 
 CELL_DEG = 0.02  # side of the tiles that are solved by themselves, about two kilometres
+HELD = 500_000  # links that a task contracts at once
+HUBS = 32  # of a component graph, whose reach is known in full
 LAYERS = 2  # ends cut off one after the other before chains are sought again
 
 
@@ -47,6 +49,36 @@ def connected_components(links: DataFrame, ws: Workspace, label: str = "cc") ->
         done += 1
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """(u, v): as few links as connect the same sets within each task. A task works on HELD links at a time."""
+    ship()
+
+    def contract(frames):
+        held, count = [], 0
+
+        def out():
+            names, at = np.unique(np.concatenate([f[c].to_numpy() for c in ("u", "v") for f in held]), return_inverse=True)
+            a, b, root = at[:count], at[count:], np.arange(len(names))
+            while (root[a] != root[b]).any():
+                low = np.minimum(root[a], root[b])
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                while (root[root] != root).any():
+                    root = root[root]
+            return pd.DataFrame({"u": names, "v": names[root]})
+
+        for frame in frames:
+            held.append(frame)
+            count += len(frame)
+            if count >= HELD:
+                yield out()
+                held, count = [], 0
+        if count:
+            yield out()
+
+    return links.select("u", "v").mapInPandas(contract, links.select("u", "v").schema)
+
+
 def street_speeds(segments: DataFrame, ws: Workspace) -> DataFrame:
     """(seg_id, inferred): limits for unposted blocks, from posted blocks of
     the same name and class they connect to through unposted ones; the
@@ -55,9 +87,11 @@ def street_speeds(segments: DataFrame, ws: Workspace) -> DataFrame:
     ends = segments.where("coalesce(name, '') <> ''").select("seg_id", "name", "class", "speed", F.explode("conns.connector_id").alias("at")).distinct()
     meets = ws.write(ends.groupBy("name", "class", "at").agg(
         F.min(F.when(F.col("speed").isNull(), F.col("seg_id"))).alias("head"), F.max("speed").alias("posted")).where("head is not null"), "street-meets")
-    open_ends = ends.where("speed is null").join(meets, ["name", "class", "at"]).select("seg_id", "head", "posted")
+    open_ends = ends.where("speed is null").join(meets, ["name", "class", "at"]).select("seg_id", "head", "posted", "name", "class")
     open_ends = ws.write(open_ends, "street-ends")
-    comps = connected_components(open_ends.select(F.col("seg_id").alias("u"), F.col("head").alias("v")), ws, "street")
+    # dealt by street, so that most are whole in one task; a street of very many blocks is split
+    links = open_ends.select(F.col("seg_id").alias("u"), F.col("head").alias("v"), "name", "class").hint("rebalance", "name", "class")
+    comps = connected_components(_stars(links), ws, "street")
     member = open_ends.select(F.col("seg_id").alias("node"), "posted").join(comps, "node")
     best = member.groupBy("comp").agg(F.max("posted").alias("inferred")).where("inferred is not null")
     return comps.join(best, "comp").select(F.col("node").alias("seg_id"), "inferred")
@@ -272,35 +306,83 @@ def component_arcs(arcs: DataFrame, comps: DataFrame) -> DataFrame:
     return _contracted(arcs, comps).select(F.col("u").alias("src_comp"), F.col("v").alias("dst_comp"))
 
 
-def reachable_pairs(pairs: DataFrame, dag: DataFrame, ws: Workspace) -> DataFrame:
-    """The (src_comp, dst_comp) pairs of `pairs` with a way from one to the
-    other. Frontiers grow along the component arcs, all pairs at once; a
-    source stops when its wanted components are found."""
-    want = ws.write(pairs.select("src_comp", "dst_comp").distinct(), "reach-want")
-    same = want.where("src_comp = dst_comp")
-    open_pairs = want.where("src_comp <> dst_comp")
-    seen = ws.write(open_pairs.select("src_comp", F.col("src_comp").alias("at"), F.lit(True).alias("fresh")).distinct(), "reach-0")
-    arcs = dag.select(F.col("src_comp").alias("at"), F.col("dst_comp").alias("next"))
+def label_components(access: DataFrame, turns: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFrame:
+    """(who, edge_id, comp): strong components of the edges a class may ride, joined by the turns it may make; comp is a number.
+
+    Unlike those of junctions they know of turn bans: what no component leads to cannot be ridden to.
+    """
+    side = F.lit(CELL_DEG)
+    where = nodes.select(F.col("node_id").alias("to_node"), F.floor(F.col("lon") / side).alias("cx"), F.floor(F.col("lat") / side).alias("cy"))
+    ids = access.select("who", "edge_id", "to_node").join(where, "to_node").withColumn("id", F.monotonically_increasing_id())
+    ids = ws.write(ids.select("who", "edge_id", "id", F.struct("who", "cx", "cy").alias("cell")), "label-vertices")
+    of = lambda edge, name: ids.select("who", F.col("edge_id").alias(edge), F.col("id").alias(name))
+    arcs = turns.select("who", "in_edge", "out_edge").join(of("in_edge", "u"), ["who", "in_edge"]).join(of("out_edge", "v"), ["who", "out_edge"]).select("u", "v")
+    found = strong_components(arcs, ws, ids.select("id"), ids.select(F.col("id").alias("node"), "cell"))
+    return ids.join(found.withColumnRenamed("node", "id"), "id").select("who", "edge_id", "comp")
+
+
+def _spread(begin: DataFrame, arcs: DataFrame, ws: Workspace, label: str) -> DataFrame:
+    """(src, at): all that arcs (at, next) lead to from begin (src, at), itself included. A round an arc, for all at once."""
+    seen = ws.write(begin.select("src", "at", F.lit(True).alias("fresh")).distinct(), f"{label}-0")
     done = 0
-    while True:
-        found = seen.select("src_comp", F.col("at").alias("dst_comp"))
-        waiting = open_pairs.join(found, ["src_comp", "dst_comp"], "left_anti").select("src_comp").distinct()
-        ahead = (seen.where("fresh").join(waiting, "src_comp", "left_semi").join(arcs, "at")
-                 .select("src_comp", F.col("next").alias("at")).distinct())
-        both = seen.select("src_comp", "at", F.lit(1).alias("old")).unionByName(ahead.withColumn("old", F.lit(0)))
+    while not seen.where("fresh").isEmpty():
+        ahead = seen.where("fresh").join(arcs, "at").select("src", F.col("next").alias("at")).distinct()
+        both = seen.select("src", "at", F.lit(1).alias("old")).unionByName(ahead.withColumn("old", F.lit(0)))
         done += 1
-        seen = ws.write(both.groupBy("src_comp", "at").agg((F.max("old") == 0).alias("fresh")), f"reach-{done}")
-        if seen.where("fresh").isEmpty():
-            break
-    met = open_pairs.join(seen.select("src_comp", F.col("at").alias("dst_comp")), ["src_comp", "dst_comp"], "left_semi")
-    return same.unionByName(met)
+        seen = ws.write(both.groupBy("src", "at").agg((F.max("old") == 0).alias("fresh")), f"{label}-{done}")
+    return seen.select("src", "at")
+
 
+def hub_index(dag: DataFrame, ws: Workspace, hubs: int = HUBS) -> dict[str, DataFrame]:
+    """An index of a component graph (src_comp, dst_comp): what leads to each of its hubs (`into`), what they lead to
+    (`out`), and the arcs between other components (`rest`).
 
-def joined_nodes(access: DataFrame, ws: Workspace, limit: int = params.POCKET_NODES) -> DataFrame:
+    Hubs are the components with most arcs; in a street network the large one is
+    among them, and what is left are pockets. The sets of all hubs grow together.
+    """
+    ends = dag.select(F.explode(F.array("src_comp", "dst_comp")).alias("hub")).groupBy("hub").agg(F.count("*").alias("n"))
+    top = ws.write(ends.orderBy(F.desc("n"), "hub").limit(hubs).select("hub"), "hubs")
+    begin = top.select(F.col("hub").alias("src"), F.col("hub").alias("at"))
+    out = _spread(begin, dag.select(F.col("src_comp").alias("at"), F.col("dst_comp").alias("next")), ws, "hubs-out")
+    into = _spread(begin, dag.select(F.col("dst_comp").alias("at"), F.col("src_comp").alias("next")), ws, "hubs-into")
+    none = lambda c: top.select(F.col("hub").alias(c))
+    rest = dag.join(none("src_comp"), "src_comp", "left_anti").join(none("dst_comp"), "dst_comp", "left_anti")
+    return {"out": out, "into": into, "rest": ws.write(rest.select("src_comp", "dst_comp"), "hubs-rest")}
+
+
+def reachable_pairs(pairs: DataFrame, dag: DataFrame, ws: Workspace, hubs: int = HUBS) -> DataFrame:
+    """The (src_comp, dst_comp) pairs of `pairs` with a way from one to the other.
+
+    A way meets a hub, which two joins with the hubs' sets tell, or stays among the
+    other components, where frontiers grow from the sources that are left. The
+    rounds follow from the graph, not from the pairs; a pocket's frontier is a pocket.
+    """
+    want = ws.write(pairs.select("src_comp", "dst_comp").distinct(), "reach-want")
+    same = want.where("src_comp = dst_comp")
+    apart = want.where("src_comp <> dst_comp")
+    if apart.isEmpty():
+        return same
+    index = hub_index(dag, ws, hubs)
+    into = index["into"].select(F.col("at").alias("src_comp"), F.col("src").alias("hub"))
+    out = index["out"].select(F.col("at").alias("dst_comp"), F.col("src").alias("hub"))
+    by_hub = apart.join(into, "src_comp").join(out, ["dst_comp", "hub"]).select("src_comp", "dst_comp").distinct()
+    by_hub = ws.write(by_hub, "reach-by-hub")
+    left = ws.write(apart.join(by_hub, ["src_comp", "dst_comp"], "left_anti"), "reach-left")
+    if left.isEmpty():
+        return same.unionByName(by_hub)
+    arcs = index["rest"].select(F.col("src_comp").alias("at"), F.col("dst_comp").alias("next"))
+    begin = left.select("src_comp").distinct().join(index["rest"].select("src_comp").distinct(), "src_comp", "left_semi")
+    seen = _spread(begin.select(F.col("src_comp").alias("src"), F.col("src_comp").alias("at")), arcs, ws, "reach")
+    met = left.join(seen.select(F.col("src").alias("src_comp"), F.col("at").alias("dst_comp")), ["src_comp", "dst_comp"], "left_semi")
+    return same.unionByName(by_hub).unionByName(met)
+
+
+def joined_nodes(access: DataFrame, ws: Workspace, limit: int = params.POCKET_NODES, comps: DataFrame | None = None) -> DataFrame:
     """(who, forward, node) of every junction from which (or, backward, to
     which) `who` can ride more than `limit` others.
 
-    Each junction holds a set of junctions it reaches, cut off once the answer
+    comps (who, node, comp): strong components, which settle at once all
+    junctions of one that is large enough. Each other junction holds a set of junctions it reaches, cut off once the answer
     is yes, so a row stays a few dozen ids. A round joins the sets of a set's
     members, which doubles the distance covered; and a junction that reaches
     a joined one is joined, for it reaches at least as many. Junctions that
@@ -311,12 +393,23 @@ def joined_nodes(access: DataFrame, ws: Workspace, limit: int = params.POCKET_NO
     key = ["who", "forward", "node"]
     need = limit + 2
     hops = out.unionByName(into).where("node <> next").distinct()
+    settled = None
+    if comps is not None:
+        large = comps.groupBy("who", "comp").agg(F.count("*").alias("n")).where(F.col("n") > limit + 1)
+        one = comps.join(large, ["who", "comp"], "left_semi").select("who", "node")
+        settled = ws.write(one.select("who", F.lit(True).alias("forward"), "node").unionByName(one.select("who", F.lit(False).alias("forward"), "node")), "joined-settled")
+    every = hops
+    hops = hops if settled is None else hops.join(settled, key, "left_anti")
     few = hops.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("next"))).where(F.col("nth") <= need)
     sets = few.groupBy(*key).agg(F.collect_set("next").alias("seen"))
     # the other ends of edges may have no way on themselves
-    bare = hops.select("who", "forward", F.col("next").alias("node")).distinct().join(sets.select(*key), key, "left_anti")
+    bare = every.select("who", "forward", F.col("next").alias("node")).distinct().join(every.select(*key).distinct(), key, "left_anti")
+    bare = bare if settled is None else bare.join(settled, key, "left_anti")
     sets = sets.select(*key, F.array_union(F.array("node"), "seen").alias("seen")).unionByName(bare.select(*key, F.array("node").alias("seen")))
-    state = ws.write(sets.withColumn("joined", F.size("seen") > limit + 1).withColumn("grew", F.lit(True)), "joined-0")
+    state = sets.withColumn("joined", F.size("seen") > limit + 1).withColumn("grew", F.lit(True))
+    if settled is not None:
+        state = state.unionByName(settled.select(*key, F.array("node").alias("seen"), F.lit(True).alias("joined"), F.lit(True).alias("grew")))
+    state = ws.write(state, "joined-0")
     done = 0
     while True:
         live = state.where("not joined and grew")

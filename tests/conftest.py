@@ -98,8 +98,8 @@ def graph(spark):
     access = ws.write(access, "access")
     turns = ws.write(roads.legal_turns(access, bans), "turns")
     comps = ws.write(components.class_components(edges, access, nodes, ws), "comps")
-    joined = ws.write(components.joined_nodes(access, ws), "joined")
-    return {"nodes": nodes, "segments": segs, "edges": edges, "bans": bans, "access": access, "turns": turns, "comps": comps, "joined": joined, "inferred": inferred}
+    joined = ws.write(components.joined_nodes(access, ws, comps=comps), "joined")
+    return {"nodes": nodes, "segments": segs, "edges": edges, "bans": bans, "access": access, "turns": turns, "comps": comps, "loops": ws.write(components.label_components(access, turns, nodes, ws), "loops"), "joined": joined, "inferred": inferred}
 
 
 def trips():
@@ -129,7 +129,7 @@ def answers(request, spark, graph):
     vehicles = params.vehicles(spark)
     asked = ws.write(paths.request_status(asked, vehicles, BOX), "asked")
     g = graph
-    out = paths.solve(asked.where("status is null"), g["nodes"], g["access"], g["turns"], g["edges"], g["comps"], g["joined"], ws)
+    out = paths.solve(asked.where("status is null"), g["nodes"], g["access"], g["turns"], g["edges"], g["comps"], g["loops"], g["joined"], ws)
     paths.FIRST_TILE_DEG = usual
     ends = ["who", "start_lon", "start_lat", "end_lon", "end_lat"]
     r = asked.join(out["routes"].withColumnRenamed("status", "found"), ends, "left").withColumn("status", F.coalesce("status", "found"))

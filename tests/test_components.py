@@ -85,3 +85,39 @@ def test_long_chain_and_ring_take_few_rounds(spark):
     assert ws.written < 40
     sets = got.groupBy("comp").count().where("count > 1").collect()
     assert {r.comp: r["count"] for r in sets} == {0: 7, 1_000_000: n}
+
+
+@pytest.mark.parametrize("hubs", [1, 3, 32])
+def test_pairs_by_hubs_and_pockets(spark, hubs):
+    rng = random.Random(hubs)
+    n = 60
+    arcs = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(90)) if a < b} | {(a, 30) for a in range(0, 20, 3)} | {(30, b) for b in range(40, 60, 4)})
+    ahead = {}
+    for a, b in arcs:
+        ahead.setdefault(a, []).append(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in ahead.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    pairs = [(a, b) for a in range(n) for b in range(n)]
+    ws = Rounds(spark)
+    got = components.reachable_pairs(spark.createDataFrame(pairs, "src_comp long, dst_comp long"), spark.createDataFrame(arcs, "src_comp long, dst_comp long"), ws, hubs)
+    assert sorted((r.src_comp, r.dst_comp) for r in got.collect()) == sorted((a, b) for a in range(n) for b in reach(a))
+    few = Rounds(spark)
+    components.reachable_pairs(spark.createDataFrame(pairs[::7], "src_comp long, dst_comp long"), spark.createDataFrame(arcs, "src_comp long, dst_comp long"), few, hubs).count()
+    assert abs(few.written - ws.written) <= 2
+
+
+def test_a_turn_ban_parts_edges(spark):
+    """Two streets that meet at one junction, where every turn from the one into the other is banned."""
+    access = spark.createDataFrame([("x", e, a, b) for e, a, b in (("1f", 1, 2), ("1b", 2, 1), ("2f", 2, 3), ("2b", 3, 2))], "who string, edge_id string, from_node long, to_node long")
+    nodes = spark.createDataFrame([(k, -122.4 + k / 1000, 37.7) for k in (1, 2, 3)], "node_id long, lon double, lat double")
+    turns = [("x", a, b) for a, b in (("1f", "1b"), ("1b", "1f"), ("2f", "2b"), ("2b", "2f"), ("2b", "1b"))]
+    got = {r.edge_id: r.comp for r in components.label_components(access, spark.createDataFrame(turns, "who string, in_edge string, out_edge string"), nodes, Workspace(spark, "t")).collect()}
+    assert got["1f"] == got["1b"] != got["2f"] == got["2b"]
