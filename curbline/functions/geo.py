@@ -137,9 +137,9 @@ def point_at(line: Column, cum: Column, t: Column) -> Column:
 
 
 def without_repeats(line: Column) -> Column:
-    empty = F.slice(line, 1, 0)
-    return F.aggregate(line, empty, lambda acc, p: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == p), acc).otherwise(F.concat(acc, F.array(p))))
+    """The points of a line but those equal to the one before; linear in the line."""
+    pairs = F.zip_with(line, F.concat(F.array(F.lit(None)), line), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.transform(F.filter(pairs, lambda x: x["p"].isNotNull() & ~x["p"].eqNullSafe(x["q"])), lambda x: x["p"])
 
 
 def stretch(line: Column, cum: Column, t0: Column, t1: Column) -> Column:

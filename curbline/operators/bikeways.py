@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import geo
 from ..functions.policy import lookup
-from .spatial import around, columns, whole_deg
+from .spatial import around, covering, whole_deg
 
 CLASS_NAMES = {"CLASS I": 1, "CLASS II": 2, "CLASS III": 3, "CLASS IV": 4}
 COMPASS_DEG = {"N": 0.0, "E": 90.0, "S": 180.0, "W": 270.0}
@@ -44,16 +44,16 @@ def _flat_metric(kx: Column):
     return metric
 
 
-def _samples(segments: DataFrame, scale: Column) -> DataFrame:
+def _samples(segments: DataFrame) -> DataFrame:
     """Segments × points a quarter, half and three quarters along (only half
-    way on a short line), each with the bearing of its leg. Built up column
+    way on a short line), each with the bearing of its leg, on a plane scaled at the line's start. Built up column
     by column: a nested expression would be worked out again at every use."""
     cum = geo.running(geo.leg_lengths(F.col("geometry"), _flat_metric(F.col("kx"))))
     thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     leg = F.aggregate(F.sequence(F.lit(1), F.size("geometry") - 1), F.lit(0), lambda acc, i: F.when(
         (acc == 0) & (F.get("cum", i) > F.get("cum", i - 1)) & (F.get("cum", i) >= F.col("want")), i).otherwise(acc))
     return (
-        segments.select("seg_id", "class", "geometry").withColumn("kx", scale).withColumn("cum", cum)
+        segments.select("seg_id", "class", "geometry").withColumn("kx", F.cos(F.radians(F.get("geometry", 0)["lat"])) * geo.METRES_PER_DEG_LON).withColumn("cum", cum)
         .withColumn("size_m", F.element_at("cum", -1)).where("size_m > 0")
         .withColumn("need", F.when(F.col("size_m") >= params.SHORT_LINE_M, 2).otherwise(1))
         .select("*", F.posexplode(thirds).alias("i", "f")).where("need = 2 or f = 0.5")
@@ -75,24 +75,20 @@ def match(segments: DataFrame, lines: DataFrame) -> DataFrame:
     counted per street, heading and class, and the safest class with enough
     votes wins.
     """
-    # one projection for all lines, scaled at the first line's latitude
-    ref = lines.select(F.min_by(F.get("geometry", 0)["lat"], "line_id").alias("lat0"))
-    scale = ref.select((F.cos(F.radians("lat0")) * geo.METRES_PER_DEG_LON).alias("kx")).scalar()
     ky = geo.METRES_PER_DEG_LAT
+    # a row of cells has a plane of its own, scaled at its middle
+    kx = F.cos(F.radians((F.col("cell.cy") + 0.5) * PIECE_DEG)) * geo.METRES_PER_DEG_LON
     pieces = lines.select("cls", "dir", "contraflow", F.explode(geo.legs(F.col("geometry"))).alias("g")).where("g.a <> g.b")
-    lo = lambda c: F.floor(F.least(F.col(f"g.a.{c}"), F.col(f"g.b.{c}")) / PIECE_DEG)
-    hi = lambda c: F.floor(F.greatest(F.col(f"g.a.{c}"), F.col(f"g.b.{c}")) / PIECE_DEG)
-    covered = F.flatten(F.transform(F.sequence(lo("lon"), hi("lon")), lambda cx: F.transform(
-        F.sequence(lo("lat"), hi("lat")), lambda cy: F.struct(F.pmod(cx, F.lit(columns(PIECE_DEG))).alias("cx"), cy.alias("cy")))))
+    lo = lambda c: F.least(F.col(f"g.a.{c}"), F.col(f"g.b.{c}"))
+    hi = lambda c: F.greatest(F.col(f"g.a.{c}"), F.col(f"g.b.{c}"))
     pieces = (
-        pieces.withColumn("cell", F.explode(covered)).withColumn("kx", scale)
+        pieces.withColumn("cell", F.explode(covering(lo("lon"), hi("lon"), lo("lat"), hi("lat"), PIECE_DEG))).withColumn("kx", kx)
         .select("cell", "cls", "dir", "contraflow", (F.col("g.a.lon") * F.col("kx")).alias("ax"), (F.col("g.a.lat") * ky).alias("ay"),
                 (F.col("g.b.lon") * F.col("kx")).alias("bx"), (F.col("g.b.lat") * ky).alias("by"))
         .withColumn("line_brg", geo.flat_bearing("ax", "ay", "bx", "by"))
     )
-    points = _samples(segments, scale).select(
-        "seg_id", "class", "need", "i", "brg", (F.col("lon") * F.col("kx")).alias("px"), (F.col("lat") * ky).alias("py"),
-        F.explode(around("lon", "lat", PIECE_DEG)).alias("cell"))
+    points = _samples(segments).withColumn("cell", F.explode(around("lon", "lat", PIECE_DEG))).withColumn("kx", kx).select(
+        "seg_id", "class", "need", "i", "brg", "cell", (F.col("lon") * F.col("kx")).alias("px"), (F.col("lat") * ky).alias("py"))
     allowed = (F.when(F.col("class") == "footway", F.col("cls") == 1)
                .when(F.col("class").isin(*params.PATHLIKE_CLASSES), F.col("cls").isin(1, 4)).otherwise(F.col("cls").isin(2, 3, 4)))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")

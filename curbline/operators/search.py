@@ -16,13 +16,21 @@ from ..session import Workspace
 from .spatial import nearest_within
 
 
+PARTS_AT_ONCE = 1_000  # partitions whose counts are added up together
+
+
 def positions(ordered: DataFrame, ws: Workspace) -> DataFrame:
     """Numbers the rows of a sorted DataFrame (pos from 1) without gathering
-    them: rows are counted per partition, and the counts shift each one."""
+    them: rows are counted per partition, and the counts, added up in blocks
+    and then over the blocks, shift each one."""
     parts = ws.write(ordered.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "sorted")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("shift"))
-    return parts.join(F.broadcast(before), "part").withColumn("pos", F.col("nth") - F.col("first") + F.col("shift") + 1).drop("part", "nth", "first", "shift")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("first")).withColumn("block", F.floor(F.col("part") / PARTS_AT_ONCE))
+    earlier = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("whole"))
+    # a thousandth of the partitions, in one window
+    blocks = blocks.select("block", F.coalesce(F.sum("whole").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = sizes.withColumn("inner", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(blocks, "block").select("part", "first", (F.col("base") + F.col("inner")).alias("shift"))
+    return parts.join(before, "part").withColumn("pos", F.col("nth") - F.col("first") + F.col("shift") + 1).drop("part", "nth", "first", "shift")
 
 
 # -- labels for points -------------------------------------------------------

@@ -1,9 +1,11 @@
 """Joins in space, as equi-joins on map cells.
 
-A cell is as many degrees wide as it is high. A point is looked up in the rows
-next to its own and in as many columns as its own latitude takes to reach one
-cell height of metres, columns counting around the globe, so two points closer
-than a cell's height always meet. Points at one place are joined once: duplicates are folded
+Cells stand in rows of one height in degrees. A row has as many cells around
+the globe as fit if each is, in metres, as wide as high at the end of the rows
+beside it that lies further from the equator. So two points closer than a
+cell's height always lie in the same or in neighbouring rows and columns,
+columns counting around the globe: nine cells are looked up, at any latitude.
+Points at one place are joined once: duplicates are folded
 together before the shuffle and put back after it. Nearest joins start with
 small cells and only carry the points that found nothing on to larger ones,
 so a crowded cell is met with a small neighbourhood.
@@ -23,24 +25,41 @@ from ..session import Workspace
 M_PER_DEG = math.pi * params.EARTH_M / 180.0
 
 
-def columns(deg: float) -> int:
-    """Cells around the globe."""
-    return max(1, round(360.0 / deg))
+def columns(cy: Column, deg: float) -> Column:
+    """Cells around the globe in a row."""
+    far = F.least(F.greatest(F.abs(cy - 1), F.abs(cy + 2)) * deg, F.lit(90.0))
+    return F.greatest(F.floor(360.0 * F.cos(F.radians(far)) / deg), F.lit(1)).cast("long")
+
+
+def _column(lon: Column, world: Column) -> Column:
+    return F.floor(lon * world / 360.0)
 
 
 def cell(lon, lat, deg: float) -> Column:
     """Column and row of the map cell a point lies in."""
-    return F.struct(F.pmod(F.floor(geo.col(lon) / deg), F.lit(columns(deg))).alias("cx"), F.floor(geo.col(lat) / deg).alias("cy"))
+    cy = F.floor(geo.col(lat) / deg)
+    world = columns(cy, deg)
+    return F.struct(F.pmod(_column(geo.col(lon), world), world).alias("cx"), cy.alias("cy"))
 
 
 def around(lon, lat, deg: float) -> Column:
     """The cells around a point that hold all points within a cell's height, as an array to explode."""
-    world = columns(deg)
-    cx, cy = F.floor(geo.col(lon) / deg), F.floor(geo.col(lat) / deg)
-    squeeze = F.greatest(F.cos(F.radians(geo.col(lat))), F.lit(1e-9))
-    reach = F.least(F.ceil(1.0 / squeeze), F.lit(world // 2 + 1)).cast("long")
-    xs = F.array_distinct(F.transform(F.sequence(cx - reach, cx + reach), lambda x: F.pmod(x, F.lit(world))))
-    return F.flatten(F.transform(xs, lambda x: F.array(*[F.struct(x.alias("cx"), (cy + j).alias("cy")) for j in (-1, 0, 1)])))
+    rows = []
+    for j in (-1, 0, 1):
+        cy = F.floor(geo.col(lat) / deg) + j
+        world = columns(cy, deg)
+        cx = _column(geo.col(lon), world)
+        rows.append(F.array_distinct(F.array(*[F.struct(F.pmod(cx + i, world).alias("cx"), cy.alias("cy")) for i in (-1, 0, 1)])))
+    return F.concat(*rows)
+
+
+def covering(west: Column, east: Column, south: Column, north: Column, deg: float) -> Column:
+    """The cells that a box touches, as an array to explode."""
+    def row(cy: Column) -> Column:
+        world = columns(cy, deg)
+        return F.transform(F.sequence(_column(west, world), _column(east, world)), lambda x: F.struct(F.pmod(x, world).alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(south / deg), F.floor(north / deg)), row))
 
 
 def whole_deg(deg: float) -> float:

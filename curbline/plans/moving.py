@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import Workspace, table
+from ..sources import landed
 from ..streaming import ride
 from . import compiled
 from .catalog import query
 
 LON0, LAT0 = -122.40, 37.78
 SPAN_M = 520.0
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _line_point(x: str, y: str) -> tuple[str, str]:
@@ -49,11 +51,15 @@ def ride_events(spark, sf):
         starts = events.groupBy(F.col("user_id").cast("string").alias("rider")).agg(F.min(F.col("ts").cast("timestamp")).alias("ts"))
         routes = ws.write(starts.withColumn("route", plan()), "plans")
         # a pattern takes a table that is one file and one that is a folder of part files
-        stream_in = spark.readStream.schema(events.schema).parquet(f"{sf.rstrip('/')}/events.parque[t]")
+        stream_in = landed.fixes(spark, f"{sf.rstrip('/')}/events.parque[t]", events.schema, files_at_once=100)
         plans_in = spark.readStream.schema(routes.schema).parquet(ws.path("plans"))
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ride.STORE)
-        out = ride.follow_riders(plans_in, fixes_from(stream_in, F.lit(span["a"]), F.lit(span["b"])))
-        job = ride.write_events(out, ws.path("events"), ws.path("offsets"), available_now=True)
+        before = spark.conf.get(STORE_CONF)
+        spark.conf.set(STORE_CONF, ride.STORE)
+        try:  # a job takes its store as it starts; other streams of the session keep theirs
+            out = ride.follow_riders(plans_in, fixes_from(stream_in, F.lit(span["a"]), F.lit(span["b"])))
+            job = ride.write_events(out, ws.path("events"), ws.path("offsets"), available_now=True)
+        finally:
+            spark.conf.set(STORE_CONF, before)
         job.awaitTermination()
         return spark.read.schema(ride.EVENT_SCHEMA).parquet(ws.path("events"))
 

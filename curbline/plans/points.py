@@ -127,7 +127,8 @@ def racks_clean(spark, sf):
     raw = derive.addresses(spark, sf).selectExpr(
         "cast(row_id as string) as objectid", "if(row_id % 3 = 0, concat(number, ' ', street, ' '), '') as address", "if(row_id % 4 = 0, ' Plaza', null) as location",
         "if(row_id % 3 = 1, 'DOCK MILL', null) as street", "'SIDEWALK' as placement", "if(row_id % 5 = 0, 'n/a', cast(row_id % 5 as string)) as racks",
-        "cast(row_id % 7 as string) as spaces", "if(row_id % 2 = 0, cast(2000 + row_id % 20 as string), '') as install_yr", "lon", "lat")
+        "cast(row_id % 7 as string) as spaces", "if(row_id % 2 = 0, cast(2000 + row_id % 20 as string), '') as install_yr",
+        "named_struct('type', 'Point', 'coordinates', array(lon, lat)) as shape")
     return landed.racks(raw)
 
 

@@ -82,9 +82,10 @@ def connectors(spark: SparkSession, path: str, box=params.EXTRACT_BOX) -> DataFr
 
 
 def connectors_from(raw: DataFrame) -> DataFrame:
-    """Junctions; ids are unique in a release, a repeat keeps one record."""
+    """Junctions; ids are unique in a release. Of a repeated id the last record counts: the one whose
+    point comes last in order, since rows of a table have no place of their own."""
     pts = raw.where("id is not null and geometry is not null").select(F.col("id").alias("node_id"), wkb_point(F.col("geometry")).alias("p")).where("p is not null")
-    return pts.select("node_id", geo.rounded_to("p.lon", 5).alias("lon"), geo.rounded_to("p.lat", 5).alias("lat")).dropDuplicates(["node_id"])
+    return pts.groupBy("node_id").agg(F.max("p").alias("p")).select("node_id", geo.rounded_to("p.lon", 5).alias("lon"), geo.rounded_to("p.lat", 5).alias("lat"))
 
 
 def stations(places: DataFrame) -> DataFrame:
@@ -156,8 +157,16 @@ def lockers(locations: DataFrame, box=params.EXTRACT_BOX) -> DataFrame:
     )
 
 
+POINT_JSON = "struct<type:string,coordinates:array<double>>"
+
+
 def racks(rows: DataFrame, box=params.EXTRACT_BOX) -> DataFrame:
-    """Rack records (all text; `lon`, `lat` from their point)."""
+    """Rack records (all text). Where they lie is told by `shape`, a point with its coordinates
+    (a struct, or its JSON text), or by columns `lon` and `lat`; records without two coordinates are left out."""
+    if "shape" in rows.columns:
+        spot = F.from_json("shape", POINT_JSON) if isinstance(rows.schema["shape"].dataType, T.StringType) else F.col("shape")
+        at = spot["coordinates"]
+        rows = rows.where(F.coalesce(F.size(at) == 2, F.lit(False))).withColumns({"lon": F.get(at, 0).cast("double"), "lat": F.get(at, 1).cast("double")})
     tidy = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     whole = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).cast("int"))
     street = F.when(tidy("street") != "", F.concat(text.title(tidy("street")), F.lit(" Street")))
@@ -210,6 +219,7 @@ def point_features(spark: SparkSession, path: str, properties: str) -> DataFrame
     return rows.withColumn("lon", F.get("coordinates", 0)).withColumn("lat", F.get("coordinates", 1)).drop("coordinates", "geometry_type")
 
 
-def fixes(spark: SparkSession, path: str, schema: str = "rider string, route string, ts timestamp, lon double, lat double, accuracy double, speed double, heading double, compass double") -> DataFrame:
-    """The stream of position fixes."""
-    return spark.readStream.schema(schema).parquet(path)
+def fixes(spark: SparkSession, path: str, schema: str = "rider string, route string, ts timestamp, lon double, lat double, accuracy double, speed double, heading double, compass double", files_at_once: int | None = None) -> DataFrame:
+    """The stream of position fixes, or of raw rows that they are derived from, from a folder of part files or a pattern."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)

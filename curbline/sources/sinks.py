@@ -23,7 +23,9 @@ def feature_lines(rows: DataFrame, properties: list[str], kind: str = "Point", l
     return rows.select(F.to_json(F.struct(*parts)).alias("value"))
 
 
-def write_features(rows: DataFrame, path: str, properties: list[str], kind: str = "Point", id_col: str | None = "id") -> None:
+def write_features(rows: DataFrame, path: str, properties: list[str], kind: str = "Point", id_col: str | None = "id", order: list[str] | None = None) -> None:
+    """A feature a line. order: columns to sort by (for sites: block face, street, state), by ranges and within each."""
+    rows = rows.orderBy(*order) if order else rows
     feature_lines(rows, properties, kind, id_col=id_col).write.mode("overwrite").text(path)
 
 
