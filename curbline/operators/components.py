@@ -20,6 +20,7 @@ from ..session import Workspace, ship
 CELL_DEG = 0.02  # side of the tiles that are solved by themselves, about two kilometres
 HELD = 500_000  # links that a task contracts at once
 HUBS = 32  # of a component graph, whose reach is known in full
+CELL_LEVELS = 4  # up to 64 times as wide: about 130 kilometres
 LAYERS = 2  # ends cut off one after the other before chains are sought again
 
 
@@ -110,8 +111,9 @@ def _contracted(arcs: DataFrame, merged: DataFrame) -> DataFrame:
 def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """(node, comp) for directed arcs (u, v); comp is the smallest member.
 
-    cells: (node, cell), where nodes lie, each cell with a bounded number of arcs; those
-    within one are solved there first. Then, over and over: mutual arcs are merged by
+    cells: (node, set, cx, cy), where nodes lie: arcs within a cell are solved there first, all
+    cells at once, and what they contract to again in cells four times as large, CELL_LEVELS
+    times or until no arc leaves its cell. Then, over and over: mutual arcs are merged by
     connected_components; chains of vertices with one way in and one way out become one
     arc each (a ring of them is a component); vertices without a way in or out are
     finished; and if none of that changes anything, loops are split by spreading the
@@ -131,8 +133,12 @@ def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None
         part = ws.write(part.join(names, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"scc-part-{step}")
         live = ws.write(_contracted(live, sets), f"scc-arcs-{step}")
 
-    if cells is not None:
-        merge(ws.write(_in_cells(live, cells), "scc-cells"))
+    for k in range(CELL_LEVELS if cells is not None else 0):
+        at = cells.select("node", F.struct("set", F.shiftright("cx", 2 * k).alias("x"), F.shiftright("cy", 2 * k).alias("y")).alias("cell"))
+        whole = _placed(live, at).where("u_cell <> v_cell").isEmpty()
+        merge(ws.write(_in_cells(live, at), f"scc-cells-{k}"))
+        if whole:  # every component was whole in its cell
+            return _least(part)
     while True:
         mutual = live.join(live.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi").where("u < v")
         mutual = ws.write(mutual, f"scc-mutual-{step}")
@@ -169,10 +175,20 @@ def strong_components(arcs: DataFrame, ws: Workspace, vertices: DataFrame | None
         of = lambda c: part.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
         closed = inner.join(of("head"), "head").join(of("tail"), "tail").where("head_comp = tail_comp").select(F.col("node").alias("comp"), F.col("head_comp").alias("into"))
         part = ws.write(part.join(closed, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), f"scc-closed-{k}")
+    return _least(part)
+
+
+def _least(part: DataFrame) -> DataFrame:
+    """Sets by their smallest member."""
     least = part.groupBy("comp").agg(F.min("node").alias("least"))
     return part.join(least, "comp").select("node", F.col("least").alias("comp"))
 
 
+def _placed(arcs: DataFrame, cells: DataFrame) -> DataFrame:
+    at = lambda c: cells.select(F.col("node").alias(c), F.col("cell").alias(f"{c}_cell"))
+    return arcs.join(at("u"), "u").join(at("v"), "v")
+
+
 def _loops_within(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of a small graph and the least vertex of the strong set of each: depth first, sets closed on the way back."""
     names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -210,8 +226,7 @@ def _loops_within(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _in_cells(arcs: DataFrame, cells: DataFrame) -> DataFrame:
     """(node, comp): the strong sets of the arcs that stay within a cell."""
     ship()
-    at = lambda c: cells.select(F.col("node").alias(c), F.col("cell").alias(f"{c}_cell"))
-    inner = arcs.join(at("u"), "u").join(at("v"), "v").where("u_cell = v_cell").select("u_cell", "u", "v")
+    inner = _placed(arcs, cells).where("u_cell = v_cell").select("u_cell", "u", "v")
     kind = arcs.schema["u"].dataType.simpleString()
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +274,7 @@ def class_components(edges: DataFrame, access: DataFrame, nodes: DataFrame, ws:
     ids = ws.write(seen.distinct().withColumn("id", F.monotonically_increasing_id()), "class-vertices")
     side = F.lit(CELL_DEG)
     where = nodes.select(F.col("node_id").alias("node"), F.floor(F.col("lon") / side).alias("cx"), F.floor(F.col("lat") / side).alias("cy"))
-    cells = ids.join(where, "node").select(F.col("id").alias("node"), F.struct("who", "cx", "cy").alias("cell"))
+    cells = ids.join(where, "node").select(F.col("id").alias("node"), F.col("who").alias("set"), "cx", "cy")
     numbered = (
         arcs.join(ids.select("who", F.col("node").alias("from_node"), F.col("id").alias("u")), ["who", "from_node"])
         .join(ids.select("who", F.col("node").alias("to_node"), F.col("id").alias("v")), ["who", "to_node"]).select("u", "v")
@@ -314,10 +329,10 @@ def label_components(access: DataFrame, turns: DataFrame, nodes: DataFrame, ws:
     side = F.lit(CELL_DEG)
     where = nodes.select(F.col("node_id").alias("to_node"), F.floor(F.col("lon") / side).alias("cx"), F.floor(F.col("lat") / side).alias("cy"))
     ids = access.select("who", "edge_id", "to_node").join(where, "to_node").withColumn("id", F.monotonically_increasing_id())
-    ids = ws.write(ids.select("who", "edge_id", "id", F.struct("who", "cx", "cy").alias("cell")), "label-vertices")
+    ids = ws.write(ids.select("who", "edge_id", "id", "cx", "cy"), "label-vertices")
     of = lambda edge, name: ids.select("who", F.col("edge_id").alias(edge), F.col("id").alias(name))
     arcs = turns.select("who", "in_edge", "out_edge").join(of("in_edge", "u"), ["who", "in_edge"]).join(of("out_edge", "v"), ["who", "out_edge"]).select("u", "v")
-    found = strong_components(arcs, ws, ids.select("id"), ids.select(F.col("id").alias("node"), "cell"))
+    found = strong_components(arcs, ws, ids.select("id"), ids.select(F.col("id").alias("node"), F.col("who").alias("set"), "cx", "cy"))
     return ids.join(found.withColumnRenamed("node", "id"), "id").select("who", "edge_id", "comp")
 
 

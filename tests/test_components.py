@@ -70,7 +70,7 @@ def test_many_graphs_at_once(spark, celled):
         arcs += some
         want |= plain(some, {x for a in some for x in a})
     df = spark.createDataFrame(arcs, "u long, v long")
-    cells = spark.createDataFrame([(n, n % 7) for n in want], "node long, cell long") if celled else None
+    cells = spark.createDataFrame([(n, "x", n % 40 - 20, n // 1_000_000 * 300) for n in want], "node long, set string, cx long, cy long") if celled else None
     got = components.strong_components(df, Workspace(spark, "t"), None, cells).collect()
     assert {r.node: r.comp for r in got} == want and len(got) == len(want)
 
