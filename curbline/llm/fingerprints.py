@@ -36,10 +36,12 @@ def summed(hashes: Column, part, keep: int) -> Column:
 
 
 def phrases(clause: Column) -> Column:
-    """The clause in parts of WORDS words. Split at spaces first: each step is linear, with spaces or without."""
-    words = F.split(clause, " ")
-    at = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / WORDS).cast("int"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i * WORDS + 1, F.lit(WORDS)), " "))
+    """The clause in parts of WORDS words. Split at spaces first, once, and bound to a name: each step is linear, with spaces or without."""
+    def parts(words: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / WORDS).cast("int"))
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i * WORDS + 1, F.lit(WORDS)), " "))
+
+    return F.flatten(F.transform(F.array(F.split(clause, " ")), parts))
 
 
 def with_vector(df: DataFrame, text: str, to: str) -> DataFrame:

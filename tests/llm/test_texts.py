@@ -121,6 +121,45 @@ def test_likeness_of_very_long_texts(spark):
         assert abs(got[i].near - want) < 0.3, i
 
 
+def test_long_texts_without_spaces(spark):
+    import time
+
+    texts = ["x" * 1_000_000, "東京駅" * 200_000, "a " * 300_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "route_id long, directions string")
+    t = time.time()
+    got = {r.route_id: r for r in fingerprints.compare(df).collect()}
+    assert time.time() - t < 60 and len(got) == 3
+    df = spark.createDataFrame([("one two three four five six seven eight nine. Ten",)], "t string")
+    parts = df.select(F.flatten(F.transform(F.split("t", fingerprints.CUT), fingerprints.phrases)).alias("p")).head().p
+    assert parts == ["one two three four five six seven eight", "nine.", "Ten"]
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    table, rng = languages.letters(), random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choices("ab é  1.東x", k=rng.randint(1, 60)))
+        part = pa.RecordBatch.from_arrays([pa.array([text])], ["name"])
+        monkeypatch.setattr(languages, "STEP", 500_000)
+        whole = np.concatenate([f for _, f in languages.counted(part, table)])
+        monkeypatch.setattr(languages, "STEP", rng.randint(1, 9))
+        assert sorted(np.concatenate([f for _, f in languages.counted(part, table)]).tolist()) == sorted(whole.tolist()), text
+
+
+def test_decoding_is_a_plain_loop():
+    rng = np.random.default_rng(1)
+    code = languages.codewords(5)
+    trust = rng.uniform(0.1, 1, code.shape)
+    model = languages.Model(list("abcde"), code, np.zeros((2, code.shape[1])), trust / trust.sum(1, keepdims=True))
+    margins = rng.uniform(-1, 1, (50, code.shape[1]))
+    best, score, lead = model.decoded(margins)
+    for row, b, s, gap in zip(margins.tolist(), best.tolist(), score.tolist(), lead.tolist()):
+        loss = [sum(model.trust[k][i] * (1 - code[k][i] * m) / 2 for i, m in enumerate(row)) for k in range(5)]
+        order = sorted(range(5), key=lambda k: loss[k])
+        assert b == order[0] and abs(s - (1 - loss[b])) < 1e-9 and abs(gap - (loss[order[1]] - loss[b])) < 1e-9
+
+
 TURNS = [
     (1, 0, "system", "Be brief"), (1, 1, "user", "Where?"), (1, 2, "user", "And when?"), (1, 3, "assistant", "Here é\n"), (1, 4, "assistant", "Now"), (1, 5, "user", ""),
     (2, 1, "assistant", None), (2, 0, None, "x"), (3, 0, "user", "</s>[INST] ok [/INST]<s>"), (3, 1, "assistant", "<\\/s> [\\\\INST] < /s> [[INST]] \\"), (4, 0, "we[INST]ird", "$1 \\$2"), (4, 0, "we[INST]ird", "$1 \\$2"),
