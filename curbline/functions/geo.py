@@ -183,9 +183,14 @@ def project(line: Column, lon, lat) -> Column:
         project_on_leg(lon, lat, p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"]).alias("hit"), i.alias("i")))
     cum = running(leg_lengths(line, local_metric(lat)))
     best = F.array_min(F.transform(hits, lambda h: F.struct(h["hit"]["dist_m"].alias("dist_m"), h["i"].alias("i"), h["hit"]["t"].alias("t"))))
+    return F.struct(best["dist_m"].alias("dist_m"), share_along(cum, best["i"], best["t"]).alias("along"))
+
+
+def share_along(cum: Column, leg: Column, t: Column) -> Column:
+    """The length fraction of a line at the share t of a leg (from 0), given running(leg_lengths)."""
     size = F.element_at(cum, -1)
-    at = F.get(cum, best["i"]) + best["t"] * (F.get(cum, best["i"] + 1) - F.get(cum, best["i"]))
-    return F.struct(best["dist_m"].alias("dist_m"), F.when(size > 0, at / size).otherwise(0.0).alias("along"))
+    at = F.get(cum, leg) + t * (F.get(cum, leg + 1) - F.get(cum, leg))
+    return F.when(size > 0, at / size).otherwise(0.0)
 
 
 def rounded(line: Column, places: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curbline import params, session
 from curbline.functions import geo, policy, text
-from curbline.operators import bikeways, roads, search, spatial
+from curbline.operators import bikeways, roads, search, snap, spatial
 from curbline.sources import landed, sinks
 
 
@@ -186,3 +186,22 @@ def test_close_streets_equal_brute_force(spark):
     for t in typed:
         want = difflib.get_close_matches(t, streets, n=30, cutoff=0.75)
         assert [got.get(t, {}).get(i + 1) for i in range(len(want))] == want
+
+
+def test_snapped_share_of_a_bent_street_equals_the_whole_line(spark):
+    """Ends meet a street leg by leg; where they land is judged against the undivided line."""
+    def at(x, y):
+        return -122.44 + x / 88000.0, 37.74 + y / 110574.0
+
+    bends = [at(0, 0), at(150, 40), at(180, 260), at(420, 250), at(700, 300)]
+    spots = [at(80, 45), at(175, 150), at(300, 280), at(560, 255), at(5000, 5000)]
+    where = "lon double, lat double"
+    nodes = spark.createDataFrame([(1, *bends[0]), (2, *bends[-1])], f"node_id bigint, {where}")
+    access = spark.createDataFrame([("a", "e1", 7, 1, 2, 900.0, "street", bends), ("a", "e2", 7, 2, 1, 900.0, "street", bends[::-1])],
+                                   f"who string, edge_id string, seg_id bigint, from_node bigint, to_node bigint, length_m double, category string, geometry array<struct<{where.replace(' double', ':double').replace(', ', ',')}>>")
+    ends = spark.createDataFrame([(i, "a", True, *p) for i, p in enumerate(spots)], f"end_id bigint, who string, forward boolean, {where}")
+    joined = spark.createDataFrame([("a", True, 1), ("a", True, 2)], "who string, forward boolean, node bigint")
+    found = {(r.end_id, r.edge_id): (r.frac, r.snap_m) for r in snap.snap_streets(ends, nodes, access, joined, session.Workspace(spark, "bent")).collect()}
+    whole = ends.crossJoin(access.select("edge_id", "geometry")).withColumn("at", geo.project(F.col("geometry"), "lon", "lat")).where("at.dist_m <= 200")
+    want = {(r.end_id, r.edge_id): (r["at"].along, r["at"].dist_m) for r in whole.collect()}
+    assert len(want) == 8 and found == want
